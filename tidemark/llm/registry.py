@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import language_id, mixing, mpeg_audio, sharding
 
-MODULES = (sharding, mixing)
+MODULES = (mpeg_audio, sharding, mixing, language_id)
 
 
 def queries() -> dict:
