@@ -56,6 +56,7 @@ def utf8(text: Column) -> Column:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small enough that a batch of very long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def unit_interval(*parts: Column) -> Column:
@@ -65,3 +66,22 @@ def unit_interval(*parts: Column) -> Column:
     """
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def join_by_frequency(left: DataFrame, stats: DataFrame, key: str, count: str, total: int, parts: int = 1000) -> DataFrame:
+    """Left join to a table with one row per key, where a key may hold a large part of the rows.
+
+    Keys with more than total/parts rows number less than ``parts``: these are
+    broadcast. The rest are shuffled; rows already matched are spread by their own
+    values. ``stats`` is read twice, so give it materialised; its columns besides
+    key and count are added to ``left``.
+    """
+    cols = [c for c in stats.columns if c not in (key, count)]
+    bar = max(1, total // parts)
+    hot = stats.filter(F.col(count) > bar).select(F.col(key).alias("__hot"), F.struct(*cols).alias("__h"))
+    cold = stats.filter(F.col(count) <= bar).select(F.col(key).cast("string").alias("__cold"), F.struct(*cols).alias("__c"))
+    one = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    spread = F.concat(F.lit("!"), F.xxhash64(*[c for c in left.columns]).cast("string"))
+    one = one.withColumn("__k", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(spread))
+    two = one.join(cold, F.col("__k") == F.col("__cold"), "left").withColumn("__v", F.coalesce("__h", "__c"))
+    return two.select(*left.columns, *[F.col(f"__v.{c}").alias(c) for c in cols])

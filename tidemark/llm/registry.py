@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, mixing, mpeg_audio, sharding
+from tidemark.llm import language_id, mixing, mpeg_audio, sharding, warc_zip
 
-MODULES = (mpeg_audio, sharding, mixing, language_id)
+MODULES = (mpeg_audio, sharding, warc_zip, mixing, language_id)
 
 
 def queries() -> dict:
