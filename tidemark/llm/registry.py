@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, mixing, mpeg_audio, sharding, warc_zip
+from tidemark.llm import language_id, mixing, mpeg_audio, near_dup, sharding, warc_zip
 
-MODULES = (mpeg_audio, sharding, warc_zip, mixing, language_id)
+MODULES = (mpeg_audio, sharding, warc_zip, mixing, language_id, near_dup)
 
 
 def queries() -> dict:
