@@ -34,20 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; for narrow tables that are read more than once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+def written(df: DataFrame, label: str = "cut", codec: str = "zstd") -> DataFrame:
+    """Cut lineage: write a table to the shared folder and read it back.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a wide table to the shared folder and read it back."""
+    A written table survives lost executors, and its plan starts anew: a Dataset
+    checkpoint keeps the constraints of the plan before it, which grow from round to round.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``written`` for narrow tables that are read more than once."""
+    return written(df, codec="snappy")
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; null counts as empty."""
     return F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")
