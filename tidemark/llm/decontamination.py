@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     rows = items.select(F.col(f"`{item}`").cast("long").alias("i"), utf8(F.col(f"`{item_text}`")).alias("t")).filter(F.col("i").isNotNull())
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     schema = docs.select(F.col(f"`{key}`").alias(key)).schema
-    for name, kind in (("item_id", "long"), ("edits", "int"), ("item_words", "int"), ("similarity", "double"), ("first_word", "long")):
+    for name, kind in (("item_id", "long"), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
         schema = schema.add(name, kind)
     texts = docs.select(F.col(f"`{key}`"), utf8(F.col(f"`{text}`")).alias("__body"))
     found = None
