@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, gru_lm, language_id, mixing, mpeg_audio, near_dup, repeats, sharding, warc_zip
+from tidemark.llm import decontamination, gru_lm, language_id, licenses, mixing, mpeg_audio, near_dup, repeats, sharding, warc_zip
 
-MODULES = (mpeg_audio, sharding, warc_zip, mixing, gru_lm, decontamination, language_id, repeats, near_dup)
+MODULES = (mpeg_audio, sharding, warc_zip, mixing, gru_lm, decontamination, language_id, licenses, repeats, near_dup)
 
 
 def queries() -> dict:
