@@ -198,6 +198,32 @@ def walks_for(strings: list[np.ndarray], recall: float, trials: int = 64) -> int
     return walks
 
 
+def item_blocks(items: DataFrame, item: str, item_text: str):
+    """The items, in blocks of about BLOCK_ITEMS, each ready to be searched for."""
+    rows = items.select(F.col(f"`{item}`").cast("long").alias("i"), utf8(F.col(f"`{item_text}`")).alias("t")).filter(F.col("i").isNotNull())
+    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    for b in range(blocks):
+        yield Items(sorted((r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()))
+
+
+def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``contaminated``. Nothing is shuffled."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at = docs.columns.index(text)
+    for block in item_blocks(items, item, item_text):
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches, held=held):
+            words = WordHashes()
+            for batch in batches:
+                bad = {m[0] for m in held.value.matches([words.of((x or "").encode()) for x in batch.column(at).to_pylist()])}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, edits, item_words, similarity, first_word): documents that hold a benchmark item with at most EDITS of its words edited.
 
@@ -208,16 +234,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = items.select(F.col(f"`{item}`").cast("long").alias("i"), utf8(F.col(f"`{item_text}`")).alias("t")).filter(F.col("i").isNotNull())
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     schema = docs.select(F.col(f"`{key}`").alias(key)).schema
     for name, kind in (("item_id", "long"), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
         schema = schema.add(name, kind)
     texts = docs.select(F.col(f"`{key}`"), utf8(F.col(f"`{text}`")).alias("__body"))
     found = None
-    for b in range(blocks):
-        block = sorted((r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator())
-        held = spark.sparkContext.broadcast(Items(block))
+    for block in item_blocks(items, item, item_text):
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
             it, words = held.value, WordHashes()

@@ -45,14 +45,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("flat", flat).select("source", "source_size", F.when(F.col("cap") <= F.col("flat") * F.col("w"), F.col("cap")).otherwise(F.col("flat") * F.col("w")).alias("target"))
 
 
-def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weight: str | None = None) -> DataFrame:
+def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weight: str | None = None, keep_hidden: tuple[str, ...] = ()) -> DataFrame:
     """Whole copies and chosen remainders of each row.
 
     Returns the input with source_size, target, copies and taken (copies times
     size). ``weight`` names a column of relative inclusion weights within a source
     (null or not positive counts as never taken beyond 0 copies; none: all equal);
     copies never exceed MOST. Input columns with these names or those that begin
-    with two underscores are replaced. A source of no words takes nothing. Equal keys
+    with two underscores (but for ``keep_hidden``) are replaced. A source of no words takes nothing. Equal keys
     draw equal random numbers; ties go by key, then size, and rows equal in all
     of these may be exchanged without changing the result. Every draw comes from
     the key, so reruns agree.
@@ -91,7 +91,7 @@ def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size:
     here = F.struct("__q", key, size)
     taken = (F.col("__b") < F.col("__eb")) | ((F.col("__b") == F.col("__eb")) & (F.col("__c") < F.col("__ec"))) | ((F.col("__b") == F.col("__eb")) & (F.col("__c") == F.col("__ec")) & (here <= F.col("__line")))
     copies = (F.col("__whole") + F.coalesce(F.col("__q").isNotNull() & taken, F.lit(False)).cast("long")).cast("long")
-    kept = [c for c in base.columns if not c.startswith("__")]
+    kept = [c for c in base.columns if not c.startswith("__") or c in keep_hidden]
     return joined.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in kept], "source_size", "target", "copies", (F.col("copies") * F.col(size)).alias("taken"))
 
 
