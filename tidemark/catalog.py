@@ -1,17 +1,31 @@
-"""Registry: each query id with its Spark plan and its SQL twin."""
+"""All queries of the engine: importing the plans registers them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import scans
+from tidemark.registry import ENTRIES
+
+PLANS = (scans,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: e.run for k, e in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: e.sql for k, e in ENTRIES.items() if e.sql}
+
+
+def covered() -> dict[str, list[str]]:
+    """Inventory id -> names of the queries that cover it."""
+    out: dict[str, list[str]] = {}
+    for e in ENTRIES.values():
+        for i in e.ids:
+            out.setdefault(i, []).append(e.name)
+    return out
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return ENTRIES["e09_anomaly"].run(spark, sf_dir)
