@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import scans
+from tidemark.plans import scans, windowing
 from tidemark.registry import ENTRIES
 
-PLANS = (scans,)
+PLANS = (scans, windowing)
 
 
 def queries() -> dict:
