@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import scans, windowing
+from tidemark.plans import features, learners, profiling, relations, scans, scores, windowing
 from tidemark.registry import ENTRIES
 
-PLANS = (scans, windowing)
+PLANS = (scans, windowing, profiling, features, relations, scores, learners)
 
 
 def queries() -> dict:

@@ -36,6 +36,13 @@ def global_average_rank(df: DataFrame, score: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(score).eqNullSafe(F.col("__s"))).drop("__s")
 
 
+def ordinal(df: DataFrame, score: str, tie: str, out: str, desc: bool = False) -> DataFrame:
+    """Row numbers from 1 over all rows by (score, tie); only rows of one score are numbered together."""
+    p = prefix_counts(df, score, {"n": F.count("*")}, desc=desc).select(F.col("s").alias("__s"), F.col("n_before").alias("__b"))
+    k = F.row_number().over(W.partitionBy(score).orderBy(tie))
+    return df.withColumn("__k", k).join(p, F.col(score).eqNullSafe(F.col("__s"))).withColumn(out, F.col("__b") + F.col("__k")).drop("__s", "__b", "__k")
+
+
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row: ap = sum over scores, highest first, of recall gained times precision; null without positives."""
     p = prefix_counts(df, score, {"n": F.count("*"), "tp": F.sum(F.col(y).cast("long"))})
