@@ -40,9 +40,10 @@ Q = 32
 GRAMS = LENGTH - Q + 1  # Q-grams in a window
 #: Initial grams of step 3; twice 25 is 50, twice 50 is LENGTH.
 FINE = 25
-CHUNK_BYTES = 4 << 20
-#: A packed (hash, position) has so many bits of position: the bytes of a chunk's last document may end there.
-PLACE = 31
+CHUNK_BYTES = 2 << 20
+#: Windows whose anchors are found together; a packed (hash, position) has the position in the low bits.
+BLOCK = 1 << 16
+PLACES = np.uint64((1 << 18) - 1)
 M = 0xD6E8FEB86659FD93
 WRAP = (1 << 64) - 1
 T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -52,16 +53,13 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(M, n, 1 << 64))
 
 
-def doubled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of 2n-grams from those of n-grams."""
-    return h[:-n] * power(n) + h[n:]
-
-
 def gram_hashes(x: np.ndarray) -> np.ndarray:
     """Hashes of the Q-grams at every byte; crossing ends of documents is left to the caller."""
     h, n = T[x], 1
     while n < Q:
-        h, n = doubled(h, n), 2 * n
+        new = h[:-n] * power(n)
+        new += h[n:]
+        h, n = new, 2 * n
     return h
 
 
@@ -74,27 +72,29 @@ class Anchors:
         self.bucket = self.cls = np.zeros(0, np.uint64)
         if len(x) < LENGTH or not (sizes >= LENGTH).any():
             return
-        h = gram_hashes(x)
-        place = np.uint64((1 << PLACE) - 1)
-        low = mix(h) & ~place | np.arange(len(h), dtype=np.uint64)
-        n = 1
-        while 2 * n <= GRAMS:
-            low, n = np.minimum(low[:-n], low[n:]), 2 * n
-        if n < GRAMS:
-            low = np.minimum(low[: len(low) - (GRAMS - n)], low[GRAMS - n :])
-        chosen = (low & place).astype(np.int64)
-        whole = np.zeros(len(chosen), bool)
-        edge = np.zeros(len(x) + 1, np.int32)
-        long = sizes >= LENGTH
-        edge[starts[long]] += 1
-        np.add.at(edge, starts[long] + sizes[long] - LENGTH + 1, -1)
-        whole = np.cumsum(edge)[: len(chosen)] > 0
-        chosen[~whole] = -1
-        turn = np.flatnonzero(np.diff(chosen, prepend=-2))
+        h = np.empty(len(x) - Q + 1, np.uint64)
+        chosen = np.empty(len(x) - LENGTH + 1, np.int32)
+        # block by block, so that the arrays stay in cache; a block runs on into the next by a window
+        for at in range(0, len(chosen), BLOCK):
+            own = gram_hashes(x[at : at + BLOCK + LENGTH - 1])
+            h[at : at + len(own)] = own
+            low = own ^ (own >> np.uint64(32))
+            low *= np.uint64(0xC4CEB9FE1A85EC53)
+            low &= ~PLACES
+            low |= np.arange(len(low), dtype=np.uint64)
+            n = 1
+            while 2 * n <= GRAMS:
+                low, n = np.minimum(low[:-n], low[n:]), 2 * n
+            if n < GRAMS:
+                low = np.minimum(low[: len(low) - (GRAMS - n)], low[GRAMS - n :])
+            chosen[at : at + len(low)] = (low & PLACES).astype(np.int32) + at
+        for s, n in zip(starts.tolist(), sizes.tolist()):  # windows that run over the end of a document
+            chosen[max(s, s + n - LENGTH + 1) : s + n] = -1
+        turn = np.flatnonzero(np.diff(chosen, prepend=np.int32(-2)))
         ends = np.append(turn[1:], len(chosen)) - 1
         served = chosen[turn] >= 0
         self.lo, self.hi = turn[served], ends[served]
-        self.at = chosen[self.lo]
+        self.at = chosen[self.lo].astype(np.int64)
         self.bucket = mix(h[self.at])
         # later offsets: Q-grams from the first window's start to the last one's end, the last of them flush with it
         end = self.hi + LENGTH - Q
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         ends = np.append(np.flatnonzero(b[1:] != b[:-1]) + 1, len(b))
         found, at = [], 0
         while at < len(b):
-            end = int(ends[min(np.searchsorted(ends, at + 20_000), len(ends) - 1)])
+            end = int(ends[min(np.searchsorted(ends, at + 8_000), len(ends) - 1)])
             part = order[at:end]
             i, w = window_firsts(head[part], [bodies[j] for j in part])
             found.append((part[i], w))
