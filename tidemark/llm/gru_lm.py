@@ -57,9 +57,13 @@ def sigmoid(a: np.ndarray) -> np.ndarray:
     return np.reciprocal(a, out=a)
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+ONES = {n: np.ones((n, 1), np.float32) for n in (CLASSES, MEMBERS)}
+
+
+def softmax(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(a) and its sums over rows, by a product: reductions over short rows are slow. Logits are small; beyond 60 they are cut."""
+    e = np.exp(np.minimum(a, 60, out=a))
+    return e, e @ ONES[a.shape[1]]
 
 
 def states(p: dict, units: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool):
@@ -91,27 +95,29 @@ def predict(p: dict, hs: np.ndarray, target: np.ndarray, grad: bool):
     cls, member = target // MEMBERS, target % MEMBERS
     order = np.argsort(cls.astype(np.uint8), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    lc = log_softmax(hs @ p["wc"] + p["bc"])
     rows = np.arange(len(hs))
-    score = lc[rows, cls]
+    logit = hs @ p["wc"] + p["bc"]
+    e, total = softmax(logit)
+    score = logit[rows, cls] - np.log(total[:, 0])
     g = None
     if grad:
-        dc = np.exp(lc)
-        dc[rows, cls] -= 1
-        g = {"wc": hs.T @ dc, "bc": dc.sum(axis=0), "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
-        dh = dc @ p["wc"].T
+        e /= total
+        e[rows, cls] -= 1
+        g = {"wc": hs.T @ e, "bc": (np.ones((1, len(e)), np.float32) @ e)[0], "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
+        dh = e @ p["wc"].T
     for c in range(CLASSES):
         idx = order[ends[c] : ends[c + 1]]
         if not len(idx):
             continue
-        own = hs[idx]
-        lm = log_softmax(own @ p["wm"][c] + p["bm"][c])
-        score[idx] += lm[np.arange(len(idx)), member[idx]]
+        own, place, m = hs[idx], np.arange(len(idx)), member[idx]
+        logit = own @ p["wm"][c] + p["bm"][c]
+        e, total = softmax(logit)
+        score[idx] += logit[place, m] - np.log(total[:, 0])
         if grad:
-            dm = np.exp(lm)
-            dm[np.arange(len(idx)), member[idx]] -= 1
-            g["wm"][c], g["bm"][c] = own.T @ dm, dm.sum(axis=0)
-            dh[idx] += dm @ p["wm"][c].T
+            e /= total
+            e[place, m] -= 1
+            g["wm"][c], g["bm"][c] = own.T @ e, (np.ones((1, len(e)), np.float32) @ e)[0]
+            dh[idx] += e @ p["wm"][c].T
     return (score, g, dh) if grad else (score, None, None)
 
 
