@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shingles as S
-from tidemark.llm.common import bounded_batches, checkpointed, join_by_frequency, table, utf8
+from tidemark.llm.common import bounded_batches, checkpointed, join_by_frequency, table, utf8, written
 from tidemark.llm.components import components
 
 #: Nodes that are compared all with all in one task.
@@ -141,10 +141,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     texts = docs.select(F.col(f"`{key}`").alias("rep"), utf8(F.col(f"`{text}`")).alias("body"))
     info = nodes.select("node", "rep", "n_shingles", "sig")
 
+    # the texts of candidates are fetched once, by a merge join at every size, and kept in the shared folder
+    wanted = placed.select("node").join(info, "node")
+    bodies = written(wanted.join(texts.hint("merge"), wanted["rep"].eqNullSafe(texts["rep"])).select("node", "n_shingles", "sig", "body"), "candidates")
+
     def tasks(rows: DataFrame) -> DataFrame:
-        """Fetch signature and text of rows (task, active, node). A key may have several texts: the node decides."""
-        wanted = rows.join(info, "node")
-        return wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).drop("rep")
+        """Rows (task, active, node) with signature and text."""
+        return rows.join(bodies, "node")
 
     name = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     own = placed.select(name(F.col("label"), F.col("block")).alias("task"), F.lit(True).alias("active"), "node")
