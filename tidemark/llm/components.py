@@ -7,32 +7,34 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, join_by_frequency
 
+#: Rounds of plain spreading before labels also jump to their label's label: shallow groups end sooner without.
+PLAIN_ROUNDS = 3
+
 
 def components(links: DataFrame, node: str = "node", hub: str = "hub") -> DataFrame:
     """(node, label) of all ends of the links; the label is the smallest node that can be reached.
 
-    A hub may have a large part of all links: those are joined by frequency. In each
-    round every end takes the smallest label across its links, then its label's label;
-    the rounds end when nothing changes. Empty links give an empty table.
+    In each round every node takes the smallest label among its neighbours; the rounds
+    end when nothing changes, after about twice the logarithm of the longest path.
+    A node with a large part of all links is joined by broadcast. A link from a node to itself
+    counts for nothing; empty links give an empty table.
     """
-    ends = checkpointed(links.select(F.col(node).alias("a"), F.col(hub).alias("b")).filter("a <> b").distinct())
-    total = ends.count()
-    degree = checkpointed(ends.groupBy("b").agg(F.count("*").alias("n")))
-    labels = checkpointed(ends.select("a").union(ends.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")))
+    pairs = links.select(F.col(node).alias("u"), F.col(hub).alias("v")).filter("u <> v")
+    edges = checkpointed(pairs.union(pairs.select("v", "u")).distinct())
+    total = edges.count()
+    labels = checkpointed(edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).select(F.col("u").alias("node"), "n", F.least("u", "m").alias("label")))
+    rounds = 0
     while total:
-        near = ends.join(labels, F.col("a") == F.col("node")).select("a", "b", F.col("label").alias("la"))
-        mins = near.groupBy("b").agg(F.min("la").alias("m"))
-        mins = mins.join(labels, F.col("b") == F.col("node")).select("b", F.least("m", "label").alias("m"))
-        hubs = checkpointed(mins.join(degree, "b").select("b", "n", "m"))
-        back = join_by_frequency(ends, hubs, "b", "n", total).groupBy("a").agg(F.min("m").alias("m"))
-        low = labels.join(back, F.col("node") == F.col("a"), "left").join(hubs.select(F.col("b").alias("hb"), F.col("m").alias("hm")), F.col("node") == F.col("hb"), "left")
-        low = checkpointed(low.select("node", F.least("label", "m", "hm").alias("label"), F.col("label").alias("old")))
-        # pointer jump: the label's own label; labels that many nodes have are few
-        counts = low.groupBy("label").agg(F.count("*").alias("n"))
-        own = checkpointed(counts.join(low.select(F.col("node").alias("x"), F.col("label").alias("next")), F.col("label") == F.col("x")).select("label", "n", "next"))
-        labels = join_by_frequency(low, own, "label", "n", max(total, 1))
-        labels = checkpointed(labels.select("node", F.least("label", "next").alias("label"), "old"))
+        rounds += 1
+        near = join_by_frequency(edges, labels.withColumnRenamed("node", "v"), "v", "n", total).groupBy("u").agg(F.min("label").alias("m"))
+        labels = labels.join(near, F.col("node") == F.col("u")).select("node", "n", F.least("label", "m").alias("label"), F.col("label").alias("old"))
+        if rounds > PLAIN_ROUNDS:
+            low = checkpointed(labels)
+            counts = low.groupBy(F.col("label").alias("x")).agg(F.count("*").alias("k"))
+            own = checkpointed(counts.join(low.select("node", F.col("label").alias("next")), F.col("x") == F.col("node")).select(F.col("x").alias("label"), "k", "next"))
+            labels = join_by_frequency(low, own, "label", "k", total).select("node", "n", F.least("label", "next").alias("label"), "old")
+        labels = checkpointed(labels)
         if labels.filter("label <> old").isEmpty():
             break
-        labels = labels.select("node", "label")
+        labels = labels.drop("old")
     return labels.select("node", "label")

@@ -2,11 +2,12 @@
 
 1. Every text becomes a set of word shingles; its minima give band keys and a packed
    signature of their low bits. Texts of equal sets are one node.
-2. Nodes that share a band key are candidates; the components of these bound the search.
-3. Within a component pairs whose collision-corrected estimate is not clearly too
+2. Nodes of a band all are candidates of its smallest node, their hub; so two nodes that
+   share a band are in one hub's group.
+3. Within a group pairs whose collision-corrected estimate is not clearly too
    low are compared on their full sets, unless links already connect them.
-   Components of more than BLOCK nodes are compared in blocks: first each block with
-   itself and a hub, then the nodes that are not connected to the hub with all.
+   Groups of more than BLOCK nodes are compared in blocks: first each block with
+   itself and the hub, then the nodes that are not connected to the hub with all.
 4. Components of the confirmed links give each document the smallest key it can reach.
 """
 
@@ -28,24 +29,25 @@ BLOCK = 256
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, node, bands, sig) of each row; node is a hash of the whole set, null for an empty set."""
+    """(key, print, n_shingles, node, bands, sig) of each row; node is a hash of the whole set, null for an empty set; print tells the texts of a repeated key apart."""
     bounded_batches(docs.sparkSession)
-    schema = docs.select(F.col(f"`{key}`").alias("key")).schema.add("n_shingles", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
+    schema = docs.select(F.col(f"`{key}`").alias("key")).schema.add("print", "long").add("n_shingles", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
 
     def run(batches):
         words = S.WordHashes()
         for b in batches:
             size, node, bands, sig = [], [], [], []
-            for body in b.column(1).to_pylist():
+            for body in b.column(2).to_pylist():
                 sh = S.shingles(words.of(body))
                 size.append(len(sh))
                 m = S.minima(sh) if len(sh) else None
                 node.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(sh.tobytes())))) if len(sh) else None)
                 bands.append(S.band_keys(m) if len(sh) else None)
                 sig.append(S.pack(m) if len(sh) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema.names)
 
-    return docs.select(F.col(f"`{key}`").alias("key"), utf8(F.col(f"`{text}`")).alias("body")).mapInArrow(run, schema)
+    body = utf8(F.col(f"`{text}`"))
+    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("print"), body.alias("body")).mapInArrow(run, schema)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -130,20 +132,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     """
     sig = checkpointed(signatures(docs, key, text))
     full = sig.filter("node is not null")
-    nodes = checkpointed(full.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    groups = checkpointed(components(candidates(nodes)))
-    sizes = checkpointed(groups.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")))
-
-    parted = join_by_frequency(groups, sizes.select("label", F.col("size").alias("n"), "size"), "label", "n", max(1, nodes.count()))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64(F.lit("block"), "node"), blocks)).otherwise(0).cast("int")
-    placed = checkpointed(parted.select("node", "label", "size", blocks.alias("blocks"), block.alias("block")))
-    texts = docs.select(F.col(f"`{key}`").alias("rep"), utf8(F.col(f"`{text}`")).alias("body"))
-    info = nodes.select("node", "rep", "n_shingles", "sig")
+    nodes = checkpointed(full.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "print")).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    near = checkpointed(candidates(nodes))
+    sizes = checkpointed(near.groupBy(F.col("hub").alias("label")).agg((F.count("*") + 1).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    members = near.select("node", F.col("hub").alias("label")).union(sizes.select("label", "label"))
+    parted = join_by_frequency(members, sizes, "label", "n", max(1, near.count()))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks")).otherwise(0).cast("int")
+    placed = checkpointed(parted.withColumn("block", block))
+    body = utf8(F.col(f"`{text}`"))
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("print"), body.alias("body"))
+    info = nodes.select("node", F.col("rep.key").alias("rep"), F.col("rep.print").alias("own"), "n_shingles", "sig")
 
     # the texts of candidates are fetched once, by a merge join at every size, and kept in the shared folder
-    wanted = placed.select("node").join(info, "node")
-    bodies = written(wanted.join(texts.hint("merge"), wanted["rep"].eqNullSafe(texts["rep"])).select("node", "n_shingles", "sig", "body"), "candidates")
+    wanted = placed.select("node").distinct().join(info, "node")
+    bodies = written(wanted.join(texts.hint("merge"), wanted["rep"].eqNullSafe(texts["key"]) & (wanted["own"] == texts["print"])).select("node", "n_shingles", "sig", "body"), "candidates")
 
     def tasks(rows: DataFrame) -> DataFrame:
         """Rows (task, active, node) with signature and text."""
@@ -151,13 +153,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
     name = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     own = placed.select(name(F.col("label"), F.col("block")).alias("task"), F.lit(True).alias("active"), "node")
-    # the smallest node of a component that has several blocks goes to each of them
+    # the hub of a group that has several blocks goes to each of them
     hubs = placed.filter((F.col("blocks") > 1) & (F.col("node") == F.col("label"))).select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "label", "node", "block").filter("b <> block")
     hubs = hubs.select(name(F.col("label"), F.col("b")).alias("task"), F.lit(True).alias("active"), "node")
     links = checkpointed(verify(tasks(own.union(hubs)), num, den))
+    found = checkpointed(components(links))
     large = placed.filter("blocks > 1")
     if not large.isEmpty():
-        found = components(links)
         joined = checkpointed(large.join(found.withColumnRenamed("label", "root"), "node", "left").select("node", "label", "blocks", "block", F.coalesce("root", "node").alias("root")))
         hub_root = joined.filter("node = label").select(F.col("label").alias("hl"), F.col("root").alias("hub_root"), F.lit(1).alias("one"))
         with_hub = join_by_frequency(joined, joined.groupBy("label").agg(F.count("*").alias("n")).join(hub_root, F.col("label") == F.col("hl")).select("label", "n", "hub_root"), "label", "n", max(1, joined.count()))
@@ -169,10 +171,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
             right = joined.join(counts, "label").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("block").alias("b"))
             task = name(F.col("label"), F.col("row"), F.col("b"))
             second = left.select(task.alias("task"), F.lit(True).alias("active"), "node").union(right.select(task.alias("task"), F.lit(False).alias("active"), "node"))
-            links = links.union(checkpointed(verify(tasks(second), num, den)))
-    found = checkpointed(components(links))
+            more = checkpointed(verify(tasks(second), num, den))
+            if not more.isEmpty():
+                found = checkpointed(components(links.union(more)))
     least = nodes.join(found, "node", "left").select("node", "copies", "rep", F.coalesce("label", "node").alias("label"))
-    tops = least.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("n"))
+    tops = least.groupBy("label").agg(F.min("rep")["key"].alias("component"), F.count("*").alias("n"))
     named = join_by_frequency(least, checkpointed(tops), "label", "n", max(1, nodes.count())).select("node", "copies", "component")
     out = join_by_frequency(sig.select("key", "n_shingles", "node"), checkpointed(named), "node", "copies", max(1, sig.count()))
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
