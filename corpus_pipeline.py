@@ -18,10 +18,15 @@ from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.sharding import SHARDS, rendezvous
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under column names that clash with none of an operator's, and those names by the old ones."""
+    held = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    return held, dict(zip(docs.columns, held.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear: those without text or letters, and those with two languages all but equally near, go."""
-    held = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
-    name = dict(zip(docs.columns, held.columns))
+    held, name = renamed(docs)
     model = learn(held, name["doc_id"], name["text"], name["lang"])
     found = predict(held, model, name["doc_id"], name["text"], carry=tuple(c for c in held.columns if c != name["doc_id"]))
     return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*[F.col(v).alias(k) for k, v in name.items()])
@@ -42,8 +47,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = pareto_mix(docs.withColumn("__size", n_words(F.col("text"))), size="__size", keep_hidden=("__size",))
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    held, name = renamed(docs)
+    mixed = pareto_mix(held.withColumn("words", n_words(F.col(name["text"]))), name["doc_id"], name["source"], "words")
+    copies = mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*[F.col(v).alias(k) for k, v in name.items()])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,16 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session in which it is unset (tests on one machine) gets a local
     folder of its own.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or _local.get("dir")
     if named is None:
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(named)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
+        named = _local["dir"] = tempfile.mkdtemp(prefix="tidemark-")
+    return named.rstrip("/")
+
+
+_local: dict[str, str] = {}
 
 
 def written(df: DataFrame, label: str = "cut", codec: str = "zstd") -> DataFrame:
@@ -41,7 +38,7 @@ def written(df: DataFrame, label: str = "cut", codec: str = "zstd") -> DataFrame
     checkpoint keeps the constraints of the plan before it, which grow from round to round.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -45,28 +45,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("flat", flat).select("source", "source_size", F.when(F.col("cap") <= F.col("flat") * F.col("w"), F.col("cap")).otherwise(F.col("flat") * F.col("w")).alias("target"))
 
 
-def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weight: str | None = None, keep_hidden: tuple[str, ...] = ()) -> DataFrame:
+def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weight: str | None = None) -> DataFrame:
     """Whole copies and chosen remainders of each row.
 
     Returns the input with source_size, target, copies and taken (copies times
     size). ``weight`` names a column of relative inclusion weights within a source
     (null or not positive counts as never taken beyond 0 copies; none: all equal);
     copies never exceed MOST. Input columns with these names or those that begin
-    with two underscores (but for ``keep_hidden``) are replaced. A source of no words takes nothing. Equal keys
+    with two underscores are replaced. A source of no words takes nothing. Equal keys
     draw equal random numbers; ties go by key, then size, and rows equal in all
     of these may be exchanged without changing the result. Every draw comes from
     the key, so reruns agree.
     """
     base = df.select([c for c in df.columns if c not in ("source_size", "target", "copies", "taken")])
     by = base.withColumn("__x", F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0))
-    sums = by.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.sum(F.col("__x") * F.col(size)).alias("weighted"))
+    sums = by.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.sum(F.col("__x") * F.col(size)).alias("__weighted"))
     sums = checkpointed(sums)
-    goals = targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("s2"), "weighted"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    goals = targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("s2"), "__weighted"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     goals = checkpointed(goals.withColumnsRenamed({"source": "__source"}))
     # one row per source; broadcast only while that table is small
     small = goals.count() <= 100_000
     placed = by.join(F.broadcast(goals) if small else goals, F.col(source).eqNullSafe(F.col("__source")), "left")
-    want = F.when(F.col("weighted") > 0, F.least(F.lit(float(MOST)), F.col("__x") * (F.col("target") / F.col("weighted")))).otherwise(F.lit(0.0))
+    want = F.when(F.col("__weighted") > 0, F.least(F.lit(float(MOST)), F.col("__x") * (F.col("target") / F.col("__weighted")))).otherwise(F.lit(0.0))
     u = unit_interval(F.lit("pareto"), F.col(key))
     placed = placed.withColumn("__want", want).withColumn("__whole", F.floor("__want")).withColumn("__p", F.col("__want") - F.col("__whole"))
     placed = placed.withColumn("__q", F.when(F.col("__p") > 0, (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))))
@@ -91,7 +91,7 @@ def pareto_mix(df: DataFrame, key: str = "doc_id", source: str = "source", size:
     here = F.struct("__q", key, size)
     taken = (F.col("__b") < F.col("__eb")) | ((F.col("__b") == F.col("__eb")) & (F.col("__c") < F.col("__ec"))) | ((F.col("__b") == F.col("__eb")) & (F.col("__c") == F.col("__ec")) & (here <= F.col("__line")))
     copies = (F.col("__whole") + F.coalesce(F.col("__q").isNotNull() & taken, F.lit(False)).cast("long")).cast("long")
-    kept = [c for c in base.columns if not c.startswith("__") or c in keep_hidden]
+    kept = [c for c in base.columns if not c.startswith("__")]
     return joined.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in kept], "source_size", "target", "copies", (F.col("copies") * F.col(size)).alias("taken"))
 
 
