@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +56,32 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small enough that a batch of very long texts fits in a Python worker."""
+def python_on_executors(spark: SparkSession, rows: int = 1000) -> None:
+    """Before an operator runs Python: small Arrow batches, so that very long texts fit in a worker, and this package on the workers.
+
+    Workers that share the driver's PYTHONPATH have the package; else Spark hands it out with the job.
+    """
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def _ship(spark: SparkSession) -> None:
+    package = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or not package.is_dir() or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    path = f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark.zip"  # on the driver; its file server hands it out
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+
+
+_shipped: set[str] = set()
+
+
 def unit_interval(*parts: Column) -> Column:
     """A number in (0, 1) that only the given values decide: 52 bits of MD5.
 

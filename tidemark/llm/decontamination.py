@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, utf8
+from tidemark.llm.common import python_on_executors, table, utf8
 from tidemark.llm.shingles import MULT, WordHashes, mix
 
 #: Edits for each word of the item.
@@ -209,7 +209,7 @@ def item_blocks(items: DataFrame, item: str, item_text: str):
 def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``contaminated``. Nothing is shuffled."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_on_executors(spark)
     at = docs.columns.index(text)
     for block in item_blocks(items, item, item_text):
         held = spark.sparkContext.broadcast(block)
@@ -233,7 +233,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     as one. Nothing is shuffled: items are searched in blocks that each worker holds.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_on_executors(spark)
     schema = docs.select(F.col(f"`{key}`").alias(key)).schema
     for name, kind in (("item_id", "long"), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
         schema = schema.add(name, kind)

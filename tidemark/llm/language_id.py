@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, utf8
+from tidemark.llm.common import python_on_executors, table, utf8
 
 #: The bound of the sample that is fitted: documents of all languages together.
 FIT_DOCS = 2048
@@ -93,7 +93,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     Rows with null text or label teach nothing. None if no row is labelled.
     """
-    bounded_batches(df.sparkSession)
+    python_on_executors(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), utf8(F.col(f"`{text}`")).alias("body"), F.col(f"`{lang}`").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.octet_length("body") > 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -124,7 +124,7 @@ def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     language that sorts first.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
+    python_on_executors(spark)
     cols = [key, *carry]
     schema = df.select(*cols).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     shared = spark.sparkContext.broadcast(model)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, utf8
+from tidemark.llm.common import python_on_executors, table, utf8
 
 UNIT = 192
 # Fixed values of the MPEG audio format: bitrates in kbit/s by (version 1 or 2, layer), sampling rates in Hz by version, samples a frame.
@@ -294,7 +294,7 @@ def feature(s: Stream) -> str:
 
 def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, media): each text as a stored stream; null text counts as empty. Other columns are left out."""
-    bounded_batches(df.sparkSession)
+    python_on_executors(df.sparkSession)
     schema = df.select(F.col(f"`{key}`").alias("key"), F.lit(b"").alias("media")).schema
 
     def run(batches):
@@ -314,7 +314,7 @@ def probe_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
     the byte at which each frame begins. A null or foreign stream has payload_bytes 0
     and the frames that it has. n_bytes is that of the tag, else the payload's.
     """
-    bounded_batches(df.sparkSession)
+    python_on_executors(df.sparkSession)
     spark = df.sparkSession
     schema = df.select(F.col(f"`{key}`").alias("key")).schema
     for f in spark.createDataFrame([], PROBED).schema:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shingles as S
-from tidemark.llm.common import bounded_batches, checkpointed, join_by_frequency, table, utf8, written
+from tidemark.llm.common import python_on_executors, checkpointed, join_by_frequency, table, utf8, written
 from tidemark.llm.components import components
 
 #: Nodes that are compared all with all in one task.
@@ -30,7 +30,7 @@ BLOCK = 256
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, print, n_shingles, node, bands, sig) of each row; node is a hash of the whole set, null for an empty set; print tells the texts of a repeated key apart."""
-    bounded_batches(docs.sparkSession)
+    python_on_executors(docs.sparkSession)
     schema = docs.select(F.col(f"`{key}`").alias("key")).schema.add("print", "long").add("n_shingles", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
 
     def run(batches):
@@ -88,7 +88,7 @@ def compare(keys: list[int], active: np.ndarray, sizes: np.ndarray, sigs: np.nda
 
 def verify(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """Links (node, hub) confirmed in tasks (task, active, node, n_shingles, sig, body): rows of a task are compared if one of them is active."""
-    bounded_batches(tasks.sparkSession)
+    python_on_executors(tasks.sparkSession)
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def block(rows: list, words: S.WordHashes):

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, utf8, written
+from tidemark.llm.common import python_on_executors, table, utf8, written
 from tidemark.llm.shingles import mix
 
 LENGTH = 100
@@ -168,7 +168,7 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     A null key comes last. Tags tell rows apart that repeat a key.
     """
-    bounded_batches(docs.sparkSession)
+    python_on_executors(docs.sparkSession)
 
     def close(rows):
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, checkpointed, join_by_frequency, table, utf8, written
+from tidemark.llm.common import python_on_executors, checkpointed, join_by_frequency, table, utf8, written
 
 #: Payloads below this many bytes are always stored in full.
 REVISIT_FROM = 1000
@@ -218,7 +218,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
 
 def write_packages(planned: DataFrame, label: str = "warc") -> DataFrame:
     """Write packages of about PACKAGE_BYTES to the shared folder, one a row, and return that table."""
-    bounded_batches(planned.sparkSession)
+    python_on_executors(planned.sparkSession)
 
     def run(batches):
         held, size = [], 0
@@ -250,7 +250,7 @@ def read_packages(packages: DataFrame, content: str = "content") -> DataFrame:
     The digest of a response is computed from the payload that was read, digest_ok
     says that the header agrees; a revisit has digest and size of its headers (digest_ok null).
     """
-    bounded_batches(packages.sparkSession)
+    python_on_executors(packages.sparkSession)
     prefix = "<urn:record:"
 
     def rows(data: bytes) -> Iterator[tuple]:
