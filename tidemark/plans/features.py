@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import HOUR, SECOND, clip_hi, clip_lo, flag, nz, r4, r6
+from tidemark.functions.exprs import SECOND, clip_lo, flag, nz, r4, r6
 from tidemark.operators import features as X
 from tidemark.operators import graph
 from tidemark.operators import profiles as P

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import SECOND, r4, r6
 from tidemark.operators import profiles as P
 from tidemark.registry import query
-from tidemark.sources.views import TX, TXO, table, tx, tx_orders
+from tidemark.sources.views import TX, TXO, tx, tx_orders
 
 _SPAN = "(max(us) - min(us)) / 1000000.0::DOUBLE"
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import SECOND, arith_hash, r4, r6
+from tidemark.functions.exprs import SECOND, arith_hash, r6
 from tidemark.operators import encode, sampling
 from tidemark.operators.scoring import ordinal
 from tidemark.registry import query
-from tidemark.sources.views import SC, TX, scored, table, tx
+from tidemark.sources.views import SC, TX, scored, tx
 
 
 def H(key: str, seed: int = 42) -> str:

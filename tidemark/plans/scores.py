@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import r4, r6
 from tidemark.operators import scoring as S
 from tidemark.registry import query
-from tidemark.sources.views import SC, TX, scored, table, tx
+from tidemark.sources.views import SC, scored, table
 
 _AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
 

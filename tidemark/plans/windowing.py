@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import HOUR, SECOND, SPANS, avg_rank, clip_lo, r4, r6
+from tidemark.functions.exprs import SECOND, SPANS, avg_rank, clip_lo, r4, r6
 from tidemark.operators import windows as O
 from tidemark.registry import query
 from tidemark.sources.views import SC, TX, TXO, scored, tx, tx_orders
