@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, checkpointed, table, utf8  # noqa: F401
+from tidemark.llm.common import checkpointed, table, utf8
 
 SHARDS = 40
 #: Rows of one shard that are numbered together; more rows only make more groups.
