@@ -34,7 +34,7 @@ UNITS = CLASSES * MEMBERS
 HEAD = ENDINGS = (UNITS - 2) // 2
 WINDOW = 32
 SMOOTH = 0.1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 RATE, WARM_RATE = 4e-3, 1e-2
 #: Tokens on which one task makes the common start.
 WARM_TOKENS = 400_000
