@@ -192,6 +192,31 @@ def test_edited_items_are_found(spark):
     assert clean == {i for i, _ in docs} - {i for i, _, _ in got}
 
 
+def test_items_of_many_lengths(spark):
+    """Several hundred items, one much longer than the rest: the keys of an item do not depend on the items it is keyed with."""
+    rng = random.Random(5)
+    items = [(k, prose(rng, rng.randint(6, 30), 3000)) for k in range(450)] + [(450, prose(rng, 150, 3000))]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        for copy, edits in enumerate((0, decontamination.allowed(len(w)))):
+            docs.append((2 * k + copy, " ".join([*prose(rng, rng.randint(0, 20), 3000).split(), *edited(rng, w, edits), *prose(rng, 5, 3000).split()])))
+    want = set()
+    for i, t in docs:
+        w = t.split()
+        for k, b in items:
+            b = b.split()
+            if len(set(b) & set(w)) > len(b) // 2 and (e := levenshtein_in(b, w)) <= decontamination.allowed(len(b)):
+                want.add((i, k, e))
+    assert {(2 * k, k, 0) for k, _ in items} <= want
+    d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontamination.contaminated(d, b).collect()}
+    assert {(2 * k, k, 0) for k, _ in items} <= got <= want
+    assert len(got) >= 0.99 * len(want)
+    clean = {r["doc_id"] for r in decontamination.without_contamination(d, b).collect()}
+    assert clean == {i for i, _ in docs} - {i for i, _, _ in got}
+
+
 def test_items_in_blocks(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))

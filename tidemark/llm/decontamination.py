@@ -39,11 +39,14 @@ def allowed(n: int) -> int:
 
 
 def walk(x: np.ndarray, n: np.ndarray, walks: int, seed: int) -> np.ndarray:
-    """Keys of strings (rows of x, padded with 0, of n words) for each walk: (walks, rows)."""
+    """Keys of strings (rows of x, padded with 0, of n words) for each walk: (walks, rows).
+
+    A string's keys don't depend on the other rows: the places are drawn first, and the steps in order, so that a longer string only adds steps.
+    """
     steps = 3 * int(n.max())
     rng = np.random.default_rng(seed)
-    odd = rng.integers(1, 2**63, (steps, walks), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     at_share = rng.random((walks, SAMPLED))
+    odd = rng.integers(1, 2**63, (steps, walks), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     rows = np.arange(len(x))
     i = np.zeros((walks, len(x)), np.int64)
     out = np.zeros((steps, walks, len(x)), np.uint64)
@@ -144,7 +147,7 @@ class Items:
         start, n = window[:, 0], window[:, 1]
         x, _ = padded([texts[t][max(0, s) : max(0, s + k)] for t, s, k in zip(owner, start, n)])
         x = np.pad(x, ((0, 0), (0, max(0, int(n.max()) + 1 - x.shape[1]))))
-        keys = walk_like(x, n, self.walks, 7, int(self.n.max()))
+        keys = walk(x, n, self.walks, 7)
         pairs = set()
         for r in range(self.walks):
             lo, hi = np.searchsorted(self.keys[r], keys[r], "left"), np.searchsorted(self.keys[r], keys[r], "right")
@@ -167,15 +170,6 @@ def grams_of(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def walk_like(x: np.ndarray, n: np.ndarray, walks: int, seed: int, longest: int) -> np.ndarray:
-    """``walk`` with the random functions of strings of up to ``longest`` words."""
-    extra = np.zeros((1, x.shape[1]), np.uint64)
-    if x.shape[1] < longest + 1:
-        x = np.pad(x, ((0, 0), (0, longest + 1 - x.shape[1])))
-        extra = np.zeros((1, x.shape[1]), np.uint64)
-    return walk(np.concatenate([x, extra]), np.append(n, longest), walks, seed)[:, :-1]
-
-
 def walks_for(strings: list[np.ndarray], recall: float, trials: int = 64) -> int:
     """How many walks find pairs at the largest allowed distance with this recall, by simulated edits of (up to 100 of) the items."""
     rng = np.random.default_rng(11)
