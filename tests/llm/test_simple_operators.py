@@ -2,14 +2,16 @@
 
 import hashlib
 import io
+import textwrap
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, mixing, mpeg_audio, sharding, warc_zip
+from tidemark.llm import license_texts, licenses, mixing, mpeg_audio, sharding, warc_zip
 from tidemark.llm.registry import oracle_sql, queries
 
 
@@ -218,3 +220,29 @@ def test_inheritance(spark):
     assert got[3] == (None, "Apache-2.0", "a/b")  # COPYING and LICENSE.txt are as similar: the first path speaks
     assert got[4] == (None, "Apache-2.0", "") and got[5][0] == "Apache-2.0"
     assert got[6] == (None, None, None) and got[7] == (None, "Apache-2.0", "")
+
+
+def test_headers_and_whole_texts(spark):
+    """Wrapped headers, full texts and SPDX identifiers, none of which has a line that is like a template."""
+    folder = Path(license_texts.__file__).with_suffix("")
+    full = {f.stem: f.read_text() for f in sorted(folder.glob("*.txt"))}
+    code = "\nimport os\n\n\ndef f():\n    return os.name\n"
+    wrapped = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 66))
+    cases = [(k, t) for k, t in full.items()]
+    for mark in ("# ", " * "):
+        cases += [(k, f"#!/usr/bin/python\n{mark}A tool for frobbing.\n{mark}\n{mark}Copyright (C) 2019 Jane Doe\n{mark}\n{wrapped(t, mark)}{code}") for k, t in license_texts.HEADERS]
+    cases += [
+        ("MIT", full["MIT"][full["MIT"].index("Permission") :]),
+        ("MIT", wrapped(full["MIT"], "// ") + code),
+        ("BSD-3-Clause", "Copyright (c) 2001, Jane Doe\nAll rights reserved.\n\n" + full["BSD-3-Clause"].split("\n\n", 1)[1]),
+        ("AGPL-3.0", full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL")),
+        ("CC-BY-NC-4.0", full["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", "Attribution-NonCommercial")),
+        ("MIT", "# SPDX-License-Identifier: MIT" + code),
+        ("GPL-2.0-only WITH Linux-syscall-note", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\nint x;"),
+        ("MIT", "prose\nReleased under the MIT License.\nmore"),
+        (None, "The copyright of the song, and the licence to sing it, was hers.\n" + code),
+        (None, None),
+    ]
+    d = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan_licenses(d).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, k) for i, (k, _) in enumerate(cases)]
