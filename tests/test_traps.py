@@ -111,3 +111,34 @@ def test_history_does_not_hang_on_row_order(spark):
     a = windows.history(d).orderBy("event_id").collect()
     b = windows.history(d.orderBy(F.rand(1))).orderBy("event_id").collect()
     assert a == b
+
+
+def test_pretest_profiles_fall_back(spark):
+    """Customer 1 has pretest rows, 2 only pretrain rows, 3 neither."""
+    keep = ("prof_amt_mean", "prof_amt_std", "prof_amt_median", "prof_hour_mean")
+    profile = lambda rows: spark.createDataFrame(rows, "customer_id long, " + ", ".join(f"{c} double" for c in keep))
+    d = spark.createDataFrame([(1, 1, 30.0, 5, 10), (1, 2, 30.0, 6, 10), (2, 3, 30.0, 5, 10), (3, 4, 30.0, 5, 10)], "customer_id long, event_id long, amt double, mcc int, hour int")
+    new, old = profile([(1, 10.0, 2.0, 10.0, 9.0)]), profile([(1, 99.0, 9.0, 99.0, 0.0), (2, 20.0, 5.0, 15.0, 12.0)])
+    mcc = spark.createDataFrame([(1, 5, 7)], "customer_id long, mcc int, mcc_n long")
+    out = features.pretest_anomalies(d, old, new, mcc)
+    assert by_id(out, "pt_amt_zscore") == [10.0, 10.0, 2.0, None] and by_id(out, "pt_amt_vs_median") == [3.0, 3.0, 2.0, None]
+    assert by_id(out, "pt_hour_deviation") == [1.0, 1.0, 2.0, None] and by_id(out, "pt_mcc_novel") == [0, 1, 1, 1]
+
+
+def test_template_fills_missing_predictions(spark):
+    template = spark.range(4).withColumnRenamed("id", "event_id")
+    pred = spark.createDataFrame([(0, 0.1), (1, 0.4), (2, None)], "event_id long, predict double")
+    assert by_id(sinks.template_aligned(template, pred), "predict") == [0.1, 0.4, 0.25, 0.25]
+
+
+def test_registered_over_all_rows(spark, sf):
+    """Every test customer with history in the pretest has a profile of it, and every test event its own prediction."""
+    from tidemark import catalog
+    from tidemark.sources.views import tx
+
+    q = catalog.queries()
+    d = tx(spark, sf)
+    known = d.filter("period = 'test'").join(d.filter("period = 'pretest' and mcc is not null").select("customer_id", "mcc").distinct(), ["customer_id", "mcc"]).select("event_id")
+    assert q["e15_pretest_anomaly_all"](spark, sf).join(known, "event_id").filter("pt_mcc_novel = 1").isEmpty() and not known.isEmpty()
+    own = d.filter("period = 'test'").select("event_id", F.round(F.col("amt") / (F.col("amt") + 50), 6).alias("own"))
+    assert q["s12_template_all"](spark, sf).join(own, "event_id").filter("own is not null and predict <> own").isEmpty()

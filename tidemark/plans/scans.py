@@ -78,6 +78,15 @@ def s12(spark, sf):
     return sinks.template_aligned(d.select("event_id"), pred).select("event_id", F.round("predict", 6).alias("predict"))
 
 
+@query("s12_template_all", "S12 C05", TX + """, p AS (SELECT event_id, amt / (amt + 50) AS predict FROM tx WHERE period = 'test'), m AS (SELECT quantile_cont(predict, 0.5) AS m FROM p)
+SELECT tx.event_id, round(coalesce(predict, m), 6) AS predict FROM tx LEFT JOIN p ON p.event_id = tx.event_id, m WHERE period = 'test'""")
+def s12_all(spark, sf):
+    """s12_template with the predictions of all rows."""
+    d = tx(spark, sf).filter("period = 'test'")
+    pred = d.select("event_id", (F.col("amt") / (F.col("amt") + 50)).alias("predict"))
+    return sinks.template_aligned(d.select("event_id"), pred).select("event_id", F.round("predict", 6).alias("predict"))
+
+
 @query("s13_float_matrix", "S13", "SELECT vec_id, label, round(embedding[1]::FLOAT::DOUBLE, 4) AS f0, round(embedding[64]::FLOAT::DOUBLE, 4) AS f63 FROM embeddings")
 def s13(spark, sf):
     e = F.col("embedding")
