@@ -217,6 +217,18 @@ def test_items_of_many_lengths(spark):
     assert clean == {i for i, _ in docs} - {i for i, _, _ in got}
 
 
+def test_items_without_ids_or_spaces(spark, monkeypatch):
+    chinese, thai = "水在标准大气压下的沸点是多少摄氏度", "เมืองหลวงของประเทศไทยคือเมืองอะไร"
+    items = [(None, "one question that has no id at all"), (None, "another question without any id to it"), ("zh-1", chinese), ("th-1", thai)]
+    docs = [(1, "so one question that has no id at all here"), (2, "another question without any id to it and one question that has no id at all"), (3, "我们问：" + chinese.replace("标准", "一般") + "？答案很简单"), (4, "ก่อน" + thai), (5, "这是另一段完全不同的文字，没有任何题目"), (6, "none of them")]
+    d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id string, text string")
+    want = [(1, "None", 0), (2, "None", 0), (2, "None", 0), (3, "zh-1", 2), (4, "th-1", 0)]
+    for size in (5_000, 2):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", size)
+        assert sorted((r["doc_id"], str(r["item_id"]), r["edits"]) for r in decontamination.contaminated(d, b).collect()) == want
+        assert sorted(r["doc_id"] for r in decontamination.without_contamination(d, b).collect()) == [5, 6]
+
+
 def test_items_in_blocks(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))

@@ -13,10 +13,14 @@ d + 1 pieces intact, so only windows around an intact piece of that length are e
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, LongType
 
 from tidemark.llm.common import python_on_executors, table, utf8
 from tidemark.llm.shingles import MULT, WordHashes, mix
@@ -30,10 +34,17 @@ SAMPLED = 3
 RECALL = 0.99
 #: Items that are held by each worker at once; more items are searched in further blocks.
 BLOCK_ITEMS = 5_000
+#: UTF-8 of characters of scripts that are written without spaces: Thai, Lao, Myanmar, Khmer, kana, bopomofo, and Han with its extensions.
+SPACELESS = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80\x81\x9e\x9f][\x80-\xbf]|\xe1\x82[\x80-\x9f]|\xe3(?:\x80[\x85-\x87]|[\x81-\x83\x86][\x80-\xbf]|\x84[\x80-\xaf]|\x87[\xb0-\xbf]|[\x90-\xbf][\x80-\xbf])|[\xe4-\xe9][\x80-\xbf][\x80-\xbf]|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf][\x80-\xbf]")
 #: Bits of the filter that most words fail.
 FILTER_BITS = 22
 
 
+def units(words: WordHashes, body: bytes) -> np.ndarray:
+    """Hashes of the words of a text; each character of a script without spaces is a word."""
+    return words.of(body if body.isascii() else SPACELESS.sub(rb" \g<0> ", body))
+
+
 def allowed(n: int) -> int:
     return int(EDITS * n + 1e-9)
 
@@ -91,10 +102,10 @@ def align(item: np.ndarray, n: np.ndarray, seg: np.ndarray, m: np.ndarray) -> np
 class Items:
     """A block of items: their pieces, and their keys under as many walks as the recall needs."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], recall: float = RECALL):
+    def __init__(self, rows: list[tuple[int | None, bytes]], recall: float = RECALL):
         words = WordHashes()
-        held = [(k, w) for k, w in ((k, words.of(t)) for k, t in rows) if len(w) >= LEAST_WORDS]
-        self.ids = np.array([k for k, _ in held], np.int64)
+        held = [(k, w) for k, w in ((k, units(words, t)) for k, t in rows) if len(w) >= LEAST_WORDS]
+        self.ids = [k for k, _ in held]
         self.strings = [w for _, w in held]
         self.x, self.n = padded(self.strings)
         self.piece = min([3, *(max(1, len(w) // (allowed(len(w)) + 1)) for w in self.strings)])
@@ -192,12 +203,20 @@ def walks_for(strings: list[np.ndarray], recall: float, trials: int = 64) -> int
     return walks
 
 
+def id_type(items: DataFrame, item: str) -> DataType:
+    """Whole numbers are given as long, other ids as they are."""
+    kind = items.select(F.col(f"`{item}`")).schema[0].dataType
+    return LongType() if isinstance(kind, IntegralType) else kind
+
+
 def item_blocks(items: DataFrame, item: str, item_text: str):
-    """The items, in blocks of about BLOCK_ITEMS, each ready to be searched for."""
-    rows = items.select(F.col(f"`{item}`").cast("long").alias("i"), utf8(F.col(f"`{item_text}`")).alias("t")).filter(F.col("i").isNotNull())
+    """The items, in blocks of about BLOCK_ITEMS, each ready to be searched for. Those that repeat an id share a block; those without one are dealt by text."""
+    rows = items.select(F.col(f"`{item}`").cast(id_type(items, item)).alias("i"), utf8(F.col(f"`{item_text}`")).alias("t"))
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     for b in range(blocks):
-        yield Items(sorted((r["i"], bytes(r["t"])) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()))
+        dealt = F.pmod(F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("i")), F.lit(blocks))
+        held = [(r["i"], bytes(r["t"])) for r in rows.filter(dealt == b).toLocalIterator()]
+        yield Items(sorted(held, key=lambda r: (False, r[1]) if r[0] is None else (True, *r)))
 
 
 def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -211,7 +230,7 @@ def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
         def run(batches, held=held):
             words = WordHashes()
             for batch in batches:
-                bad = {m[0] for m in held.value.matches([words.of((x or "").encode()) for x in batch.column(at).to_pylist()])}
+                bad = {m[0] for m in held.value.matches([units(words, (x or "").encode()) for x in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -221,17 +240,20 @@ def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, edits, item_words, similarity, first_word): documents that hold a benchmark item with at most EDITS of its words edited.
 
-    Words as everywhere here: A-Z in lower case, separated by white space. One row for each
+    Words as everywhere here: A-Z in lower case, separated by white space; besides, each
+    character of a script without spaces is one. One row for each
     document and item, the match of least edits (then the first). Null or empty texts and
     items with fewer than LEAST_WORDS words match nothing. Items that repeat an id count
-    as one. Nothing is shuffled: items are searched in blocks that each worker holds.
+    as one; items with a null id count each for itself. Nothing is shuffled: items are searched in blocks that each worker holds.
     """
     spark = docs.sparkSession
     python_on_executors(spark)
     schema = docs.select(F.col(f"`{key}`").alias(key)).schema
-    for name, kind in (("item_id", "long"), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
+    of_item = id_type(items, item)
+    for name, kind in (("item_id", of_item), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
         schema = schema.add(name, kind)
     texts = docs.select(F.col(f"`{key}`"), utf8(F.col(f"`{text}`")).alias("__body"))
+    kinds = (to_arrow_type(of_item), pa.int32(), pa.int32(), pa.float64(), pa.int64())
     found = None
     for block in item_blocks(items, item, item_text):
         held = spark.sparkContext.broadcast(block)
@@ -240,15 +262,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             it, words = held.value, WordHashes()
             for batch in batches:
                 keys = batch.column(0)
-                texts_ = [words.of(x) for x in batch.column(1).to_pylist()]
+                texts_ = [units(words, x) for x in batch.column(1).to_pylist()]
                 got = {}
                 for t, j, e, at in it.matches(texts_):
-                    k = (t, int(it.ids[j]))
+                    k = (t, it.ids[j], j if it.ids[j] is None else -1)
                     got[k] = min(got.get(k, (1 << 30,)), (e, at, int(it.n[j])))
                 if got:
-                    rows_ = [(i, e, n, round(1 - e / n, 6), at) for (_, i), (e, at, n) in got.items()]
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([t for t, _ in got])), *[pa.array(c, k) for c, k in zip(zip(*rows_), kinds)]], schema.names)
+                    rows_ = [(i, e, n, round(1 - e / n, 6), at) for (_, i, _), (e, at, n) in got.items()]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([t for t, _, _ in got])), *[pa.array(c, k) for c, k in zip(zip(*rows_), kinds)]], schema.names)
 
         part = texts.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
