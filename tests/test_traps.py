@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import avg_rank, clip_lo
+from tidemark.functions.exprs import arith_hash, avg_rank, clip_lo, day_hash
 from tidemark.operators import features, profiles, sampling, scoring, windows
 from tidemark.sources import sinks
 
@@ -142,3 +142,13 @@ def test_registered_over_all_rows(spark, sf):
     assert q["e15_pretest_anomaly_all"](spark, sf).join(known, "event_id").filter("pt_mcc_novel = 1").isEmpty() and not known.isEmpty()
     own = d.filter("period = 'test'").select("event_id", F.round(F.col("amt") / (F.col("amt") + 50), 6).alias("own"))
     assert q["s12_template_all"](spark, sf).join(own, "event_id").filter("own is not null and predict <> own").isEmpty()
+
+
+def test_hashes_of_large_ids(spark):
+    ids = [0, 1, -1, 4_000_000_000, 2**32 + 5, 2**62, -(2**62), 2**63 - 1]
+    d = spark.createDataFrame([(i,) for i in ids], "event_id long").withColumn("date", F.lit("2024-03-01").cast("date"))
+    got = {r["event_id"]: (r["h"], r["d"]) for r in d.select("event_id", arith_hash(F.col("event_id")).alias("h"), day_hash(F.col("event_id"), F.col("date")).alias("d")).collect()}
+    want = lambda i: (i * 2654435761 + 42 * 40503) % 2**32
+    assert got == {i: (want(i), want(i * 1000 + 61)) for i in ids}
+    big = spark.range(50).select((F.col("id") + 4_000_000).alias("customer_id"), F.col("id").alias("event_id"), F.lit("2024-03-01").cast("date").alias("date"), F.lit(None).cast("int").alias("y"))
+    assert sampling.one_day_each(big).count() == 50 and sampling.full_days(big, "y", 1.0).count() == 0

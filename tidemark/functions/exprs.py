@@ -37,8 +37,19 @@ def flag(p: Column) -> Column:
 
 
 def arith_hash(id_: Column, seed: int = 42) -> Column:
-    """A hash that every SQL engine can compute: a number below 2^32."""
-    return (id_ * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    """A hash that every SQL engine can compute: (id * 2654435761 + seed * 40503) modulo 2^32, of ids of any size and sign.
+
+    The id is multiplied in halves of 16 bits, so that no product leaves 64 bits.
+    """
+    low = F.pmod(id_.cast("long"), F.lit(1 << 32))
+    half = lambda x: x * F.lit(2654435761)
+    upper = F.pmod(half(F.shiftright(low, 16)), F.lit(1 << 32)) * F.lit(1 << 16)
+    return F.pmod(upper + half(F.pmod(low, F.lit(1 << 16))) + F.lit(seed * 40503), F.lit(1 << 32))
+
+
+def day_hash(id_: Column, day: Column, seed: int = 42) -> Column:
+    """``arith_hash`` of id * 1000 + day of the year."""
+    return arith_hash(F.pmod(id_.cast("long"), F.lit(1 << 32)) * 1000 + F.dayofyear(day), seed)
 
 
 def iso_weekday(ts: Column) -> Column:

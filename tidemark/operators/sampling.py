@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import arith_hash
+from tidemark.functions.exprs import arith_hash, day_hash
 
 
 def share(df: DataFrame, fraction: Column | float, seed: int = 42, key: str = "event_id") -> DataFrame:
@@ -26,7 +26,7 @@ def ratio_sample(df: DataFrame, y: str, ratio: float, seed: int = 42) -> DataFra
 def one_day_each(df: DataFrame, seed: int = 42, key: str = "customer_id") -> DataFrame:
     """All rows of one pseudo-random day of each entity. The day is an aggregate (min by hash), not a window over rows."""
     days = df.select(key, "date").distinct()
-    h = arith_hash(F.col(key) * 1000 + F.dayofyear("date"), seed)
+    h = day_hash(F.col(key), F.col("date"), seed)
     pick = days.groupBy(key).agg(F.min(F.struct(h.alias("h"), "date")).alias("m")).select(key, F.col("m.date").alias("date"))
     return df.join(pick, [key, "date"], "left_semi")
 
@@ -35,7 +35,7 @@ def full_days(df: DataFrame, y: str, ratio: float, seed: int = 42, key: str = "c
     """All rows of the days that hold a label, and of about ``ratio`` times as many other days."""
     days = df.groupBy(key, "date").agg(F.max(F.col(y).isNotNull()).alias("marked"))
     n = days.agg(F.count_if("marked").alias("a"), F.count_if(~F.col("marked")).alias("b")).select(F.try_divide(F.lit(float(ratio)) * F.col("a"), F.col("b")).alias("__f"))
-    h = arith_hash(F.col(key) * 1000 + F.dayofyear("date"), seed)
+    h = day_hash(F.col(key), F.col("date"), seed)
     pick = days.crossJoin(F.broadcast(n)).filter(F.col("marked") | (h < F.col("__f") * 4294967296.0))
     return df.join(pick.select(key, "date"), [key, "date"], "left_semi")
 

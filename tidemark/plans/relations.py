@@ -12,7 +12,8 @@ from tidemark.sources.views import SC, TX, scored, tx
 
 
 def H(key: str, seed: int = 42) -> str:
-    return f"(({key}) * 2654435761 + {seed * 40503}) % 4294967296"
+    """The twin of ``arith_hash``, in 128 bits."""
+    return f"(((({key}) * 2654435761::HUGEINT + {seed * 40503}) % 4294967296 + 4294967296) % 4294967296)::BIGINT"
 
 
 @query("j05_day_semi_join", "J05 J06", TX + ", k AS (SELECT DISTINCT customer_id, date FROM tx WHERE target = 1) SELECT event_id, customer_id, date FROM tx WHERE EXISTS (SELECT 1 FROM k WHERE k.customer_id = tx.customer_id AND k.date = tx.date)")
@@ -98,12 +99,12 @@ def m01(spark, sf):
     return sampling.ratio_sample(tx(spark, sf), "target", 5.0).select("event_id", "target")
 
 
-@query("m03_one_day_each", "M03", TX + f", d AS (SELECT DISTINCT customer_id, date FROM tx), p AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY {H('customer_id * 1000 + dayofyear(date)')}, date) AS k FROM d) SELECT event_id FROM tx JOIN p ON p.customer_id = tx.customer_id AND p.date = tx.date AND k = 1")
+@query("m03_one_day_each", "M03", TX + f", d AS (SELECT DISTINCT customer_id, date FROM tx), p AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY {H('customer_id::HUGEINT * 1000 + dayofyear(date)')}, date) AS k FROM d) SELECT event_id FROM tx JOIN p ON p.customer_id = tx.customer_id AND p.date = tx.date AND k = 1")
 def m03(spark, sf):
     return sampling.one_day_each(tx(spark, sf)).select("event_id")
 
 
-@query("m04_full_days", "M04", TX + f", d AS (SELECT customer_id, date, bool_or(target IS NOT NULL) AS marked FROM tx GROUP BY ALL), n AS (SELECT 0.5::DOUBLE * count_if(marked) / count_if(NOT marked) AS f FROM d), p AS (SELECT customer_id, date FROM d, n WHERE marked OR {H('customer_id * 1000 + dayofyear(date)')} < f * 4294967296.0::DOUBLE) SELECT event_id FROM tx JOIN p ON p.customer_id = tx.customer_id AND p.date = tx.date")
+@query("m04_full_days", "M04", TX + f", d AS (SELECT customer_id, date, bool_or(target IS NOT NULL) AS marked FROM tx GROUP BY ALL), n AS (SELECT 0.5::DOUBLE * count_if(marked) / count_if(NOT marked) AS f FROM d), p AS (SELECT customer_id, date FROM d, n WHERE marked OR {H('customer_id::HUGEINT * 1000 + dayofyear(date)')} < f * 4294967296.0::DOUBLE) SELECT event_id FROM tx JOIN p ON p.customer_id = tx.customer_id AND p.date = tx.date")
 def m04(spark, sf):
     return sampling.full_days(tx(spark, sf), "target", 0.5).select("event_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import iso_weekday, micros
+from tidemark.functions.exprs import arith_hash, iso_weekday, micros
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,9 @@ TXO = """WITH txo AS (SELECT o_custkey AS customer_id, o_orderkey AS event_id, o
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx with two deterministic pseudo-scores and a binary label."""
     d = tx(spark, sf_dir)
-    s1, s2 = F.col("amt") / (F.col("amt") + 50), ((F.col("event_id") * 2654435761 + 42 * 40503) % 4294967296) / 4294967296.0
+    s1, s2 = F.col("amt") / (F.col("amt") + 50), arith_hash(F.col("event_id")) / 4294967296.0
     return d.withColumns({"s1": s1, "s2": s2, "y": F.col("voip")}).withColumn("s3", 0.5 * F.col("s1") + 0.5 * F.col("s2"))
 
 
 SC = TX + """, sc AS (SELECT *, 0.5::DOUBLE * s1 + 0.5::DOUBLE * s2 AS s3 FROM (
-  SELECT *, amt / (amt + 50) AS s1, ((event_id * 2654435761 + 42 * 40503) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE AS s2, voip AS y FROM tx))"""
+  SELECT *, amt / (amt + 50) AS s1, (((event_id * 2654435761::HUGEINT + 42 * 40503) % 4294967296 + 4294967296) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE AS s2, voip AS y FROM tx))"""
