@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -229,6 +230,58 @@ def test_items_without_ids_or_spaces(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in decontamination.without_contamination(d, b).collect()) == [5, 6]
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "Zyx"), (2, "quite rare"), (3, "one two three"), (4, "four words of it"), (5, None), (6, ""), (None, "no id")]
+    docs = [(1, "a zyx b Zyx"), (2, "quite very rare"), (3, "so quite\nRARE"), (4, "one two three four words of it"), (5, None), (6, ""), (7, "four words of"), (None, "has no id"), (8, "zyxw no idea")]
+    d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in decontamination.contaminated(d, b, shortest=1).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 0, 1), (3, 2, 0, 1), (4, 3, 0, 0), (4, 4, 0, 3), (None, None, 0, 1)], key=str)
+    assert sorted(r["doc_id"] for r in decontamination.without_contamination(d, b, shortest=1).collect()) == [2, 5, 6, 7, 8]
+    assert decontamination.contaminated(d, b).count() == 0
+
+
+def test_columns_with_odd_names_are_kept(spark):
+    d = spark.createDataFrame([(1, "an item that has some words", 5, "x")], "doc_id long, text string, `a.b` long, item_id string")
+    b = spark.createDataFrame([(1, "an item that has some words"), (2, None)], "item_id long, text string")
+    assert decontamination.without_contamination(d, b.filter("item_id = 2")).collect() == d.collect()
+    assert decontamination.without_contamination(d, b).columns == d.columns and decontamination.without_contamination(d, b).isEmpty()
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 15, 25, 60, 155, 165, 300])
+def test_recall_at_each_length(n):
+    """Items with as many random edits as are allowed, within other words."""
+    rng, size = random.Random(n), 200 if n < 100 else 60
+    items = [(k, prose(rng, n, 3000).encode()) for k in range(size)]
+    texts = [" ".join([*prose(rng, 20, 3000).split(), *edited(rng, t.decode().split(), decontamination.allowed(n)), *prose(rng, 20, 3000).split()]).encode() for _, t in items]
+    got = {(t, j) for t, j, _, _ in decontamination.Items(items).matches(decontamination.units(texts))}
+    assert sum((k, k) in got for k in range(size)) >= 0.98 * size
+
+
+def test_memory_of_a_very_long_item():
+    rng = random.Random(2)
+    words = prose(rng, 20_000, 3000)
+    items = [(0, words.encode()), *[(k, prose(rng, 30, 3000).encode()) for k in range(1, 100)]]
+    tracemalloc.start()
+    found = decontamination.Items(items).matches(decontamination.units([f"before {words} and after".encode(), words[:60_000].encode(), items[7][1]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, j, e) for t, j, e, _ in found] == [(0, 0, 0), (2, 7, 0)] and peak < 300e6
+
+
+def test_words_are_those_of_split():
+    rng = random.Random(1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(S, "SEGMENT", 50)  # texts are cut into pieces between words
+        for _ in range(100):
+            bodies = [bytes(rng.choice(b"ABab \t\n\x0b\x0c\r\xc3\xa9z\x00") for _ in range(rng.choice([0, 1, 49, 50, 51, 400]))) + b"q" * rng.choice([0, 0, 70, 200]) for _ in range(6)]
+            seen: dict = {}
+            for body, (h, tail) in zip(bodies, S.words_of(bodies)):
+                words = body.lower().split()
+                assert len(words) == len(h) and [int.from_bytes(w[-2:], "little") for w in words] == tail.tolist()
+                assert all(seen.setdefault(w, x) == x for w, x in zip(words, h.tolist()))
+            assert len(set(seen.values())) == len(seen)
+
+
 def test_items_in_blocks(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))

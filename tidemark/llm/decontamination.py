@@ -4,11 +4,12 @@ The CGK embedding walks along a string: each step emits the current word and mov
 or stays as a random function of step and word says, so strings at a small edit
 distance mostly fall into step again and their embeddings have a small Hamming distance.
 Bit-sampling LSH keeps a few of the embedding's symbols as a key; with enough
-independent walks a match shares a key with the recall that is asked for. Every
+independent walks a match shares a key with the recall that is asked for, whatever its length. Every
 candidate then is verified by an exact alignment.
 
 Windows have the size of their item. A match with at most d edits in n words leaves one of
 d + 1 pieces intact, so only windows around an intact piece of that length are embedded: that loses nothing.
+Items of fewer than LEAST_WORDS words allow no edit: each is its own piece, and is found by it.
 """
 
 from __future__ import annotations
@@ -23,60 +24,79 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, IntegralType, LongType
 
 from tidemark.llm.common import python_on_executors, table, utf8
-from tidemark.llm.shingles import MULT, WordHashes, mix
+from tidemark.llm.shingles import MULT, hashes_of, mix
 
 #: Edits for each word of the item.
 EDITS = 0.2
-#: Items with fewer words are no evidence and match nothing.
+#: Items with fewer words match without edits only.
 LEAST_WORDS = 5
-#: Symbols of an embedding that make a key.
-SAMPLED = 3
+#: Symbols of an embedding that make a key; and from the kind with 32 edits (160 words) on, as the walks of longer strings fall out of step more often.
+SAMPLED, LONG_SAMPLED, LONG_KIND = 2, 1, 20
+#: Symbols are sampled from so many steps for each word. Walks leave a string after two steps a word: behind that all strings look alike.
+SPAN = 1.2
 RECALL = 0.99
-#: Items that are held by each worker at once; more items are searched in further blocks.
-BLOCK_ITEMS = 5_000
+#: Items and bytes of items that a worker holds at once; more items are searched in further blocks.
+BLOCK_ITEMS, BLOCK_BYTES = 5_000, 4 << 20
+#: Words of windows, and of segments to align, that are held together.
+CELLS = 1 << 19
+#: Texts that are searched for one block before the next block is loaded.
+TEXT_BYTES = 32 << 20
 #: UTF-8 of characters of scripts that are written without spaces: Thai, Lao, Myanmar, Khmer, kana, bopomofo, and Han with its extensions.
 SPACELESS = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80\x81\x9e\x9f][\x80-\xbf]|\xe1\x82[\x80-\x9f]|\xe3(?:\x80[\x85-\x87]|[\x81-\x83\x86][\x80-\xbf]|\x84[\x80-\xaf]|\x87[\xb0-\xbf]|[\x90-\xbf][\x80-\xbf])|[\xe4-\xe9][\x80-\xbf][\x80-\xbf]|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf][\x80-\xbf]")
 #: Bits of the filter that most words fail.
 FILTER_BITS = 22
 
 
-def units(words: WordHashes, body: bytes) -> np.ndarray:
-    """Hashes of the words of a text; each character of a script without spaces is a word."""
-    return words.of(body if body.isascii() else SPACELESS.sub(rb" \g<0> ", body))
+def units(bodies: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of texts; each character of a script without spaces is a word."""
+    return hashes_of([b if b.isascii() else SPACELESS.sub(rb" \g<0> ", b) for b in bodies])
 
 
 def allowed(n: int) -> int:
     return int(EDITS * n + 1e-9)
 
 
+def piece_of(n: int) -> int:
+    """Words of the pieces by which an item of n words is found: one of them is intact in every match."""
+    return n if n < LEAST_WORDS else min(3, n // (allowed(n) + 1))
+
+
+def kind_of(n: np.ndarray) -> np.ndarray:
+    """Strings of a kind have as many walks: those of one number of edits, and beyond 4 edits within a quarter of an octave."""
+    d = (EDITS * n + 1e-9).astype(np.int64)
+    return np.where(d <= 4, d, (4 * np.log2(np.maximum(d, 1))).astype(np.int64))
+
+
 def walk(x: np.ndarray, n: np.ndarray, walks: int, seed: int) -> np.ndarray:
-    """Keys of strings (rows of x, padded with 0, of n words) for each walk: (walks, rows).
+    """Keys of strings of one kind (rows of x, of n words of the item, padded with at least one 0 behind) for each walk: (walks, rows).
 
-    A string's keys don't depend on the other rows: the places are drawn first, and the steps in order, so that a longer string only adds steps.
+    A string's keys don't depend on the other rows: places and steps come from the walk alone. Only the sampled symbols are kept.
     """
-    steps = 3 * int(n.max())
-    rng = np.random.default_rng(seed)
-    at_share = rng.random((walks, SAMPLED))
-    odd = rng.integers(1, 2**63, (steps, walks), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    rows = np.arange(len(x))
+    rows, flat = np.arange(len(x)), walks * len(x)
+    at_share = np.stack([np.random.default_rng((seed, r)).random(SAMPLED) for r in range(walks)])
+    symbols = LONG_SAMPLED if len(n) and kind_of(n)[0] >= LONG_KIND else SAMPLED
+    place = (at_share.T[:symbols, :, None] * (SPAN * n)[None, None, :]).astype(np.int64).reshape(-1)
+    order = np.argsort(place, kind="stable")
+    turns = np.searchsorted(place[order], np.arange(int(place.max(initial=-1)) + 2))
+    out = np.zeros(len(place), np.uint64)
     i = np.zeros((walks, len(x)), np.int64)
-    out = np.zeros((steps, walks, len(x)), np.uint64)
-    for k in range(steps):
+    salt = mix(np.arange(walks, dtype=np.uint64) * MULT + np.uint64(seed))
+    for k in range(len(turns) - 1):
+        odd = mix(salt + np.uint64(k)) | np.uint64(1)
         word = x[rows[None, :], i]
-        word[i >= n] = 0
-        out[k] = word
-        i += ((word * odd[k][:, None]) >> np.uint64(63)).astype(np.int64)
-        np.minimum(i, np.minimum(n, x.shape[1] - 1), out=i)
+        now = order[turns[k] : turns[k + 1]]
+        out[now] = word.reshape(-1)[now % flat]
+        i += ((word * odd[:, None]) >> np.uint64(63)).astype(np.int64)  # 0, behind the end, stays
     key = np.broadcast_to(n.astype(np.uint64), (walks, len(x)))
-    for s in range(SAMPLED):
-        place = (at_share[:, s, None] * (3 * n)[None, :]).astype(np.int64)
-        key = mix(key * MULT + out[place, np.arange(walks)[:, None], rows[None, :]])
+    for s in range(symbols):
+        key = mix(key * MULT + out[s * flat : (s + 1) * flat].reshape(walks, len(x)))
     return mix(key + np.arange(walks, dtype=np.uint64)[:, None])
 
 
-def padded(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(strings: list[np.ndarray], least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows with at least one 0 behind each, and their lengths."""
     n = np.array([len(s) for s in strings], np.int64)
-    x = np.zeros((len(strings), max(1, int(n.max(initial=0)) + 1)), np.uint64)
+    x = np.zeros((len(strings), max(least, int(n.max(initial=0))) + 1), np.uint64)
     for row, s in zip(x, strings):
         row[: len(s)] = s
     return x, n
@@ -99,78 +119,149 @@ def align(item: np.ndarray, n: np.ndarray, seg: np.ndarray, m: np.ndarray) -> np
     return best
 
 
+class Kind:
+    """Items of like length: their keys under as many walks as the recall needs."""
+
+    def __init__(self, items: np.ndarray, strings: list[np.ndarray], recall: float):
+        items = items[np.argsort([len(strings[i]) for i in items], kind="stable")]
+        self.walks = walks_for([strings[i] for i in items], recall)
+        keys = []
+        for part in batches_of(np.array([len(strings[i]) for i in items])):
+            x, n = padded([strings[i] for i in items[part]])
+            keys.append(walk(x, n, self.walks, 7))
+        keys = np.concatenate(keys, axis=1)
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.items, self.keys = items[order].astype(np.int32), np.take_along_axis(keys, order, axis=1)
+
+
+def batches_of(words: np.ndarray, most: int = 256):
+    """Slices of strings in order of length, so that one padded batch has at most CELLS words, or one string."""
+    at = 0
+    while at < len(words):
+        end = at + 1
+        while end < len(words) and end - at < most and (end + 1 - at) * int(words[end] + 1) <= CELLS:
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
 class Items:
-    """A block of items: their pieces, and their keys under as many walks as the recall needs."""
+    """A block of items of at least ``shortest`` words: their pieces, and their keys."""
 
-    def __init__(self, rows: list[tuple[int | None, bytes]], recall: float = RECALL):
-        words = WordHashes()
-        held = [(k, w) for k, w in ((k, units(words, t)) for k, t in rows) if len(w) >= LEAST_WORDS]
+    def __init__(self, rows: list[tuple[int | None, bytes]], recall: float = RECALL, shortest: int = LEAST_WORDS):
+        held = [(k, w) for (k, _), w in zip(rows, units([t for _, t in rows])) if len(w) >= max(1, shortest)]
         self.ids = [k for k, _ in held]
         self.strings = [w for _, w in held]
-        self.x, self.n = padded(self.strings)
-        self.piece = min([3, *(max(1, len(w) // (allowed(len(w)) + 1)) for w in self.strings)])
-        grams = [grams_of(w, self.piece) for w in self.strings]
-        self.gram = np.concatenate([np.zeros(0, np.uint64), *grams])
-        self.gram_item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        self.gram_at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.gram_item, self.gram_at = self.gram[order], self.gram_item[order], self.gram_at[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.walks = walks_for(self.strings, recall) if held else 0
-        if held:
-            keys = np.concatenate([walk(self.x[k : k + 200], self.n[k : k + 200], self.walks, 7) for k in range(0, len(held), 200)], axis=1)
-            self.order = np.argsort(keys, axis=1, kind="stable")
-            self.keys = np.take_along_axis(keys, self.order, axis=1)
-
-    def windows(self, w: np.ndarray) -> np.ndarray:
-        """(start, item) of windows around intact pieces; a start may lie before the text."""
-        if len(w) < self.piece:
-            return np.zeros((0, 2), np.int64)
-        g = grams_of(w, self.piece)
-        at = np.flatnonzero(self.filter[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        count = hi - lo
-        place = np.repeat(at, count)
-        k = np.repeat(lo, count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        return np.unique(np.stack([place - self.gram_at[k], self.n[self.gram_item[k]]], axis=1), axis=0)
+        self.n = np.array([len(w) for w in self.strings], np.int64)
+        pieces: dict[int, list[int]] = {}
+        for j, n in enumerate(self.n.tolist()):
+            pieces.setdefault(piece_of(n), []).append(j)
+        self.tables = {size: self._table(size, members) for size, members in sorted(pieces.items())}
+        kinds, long = kind_of(self.n), self.n >= LEAST_WORDS
+        self.kinds = {int(k): Kind(np.flatnonzero(long & (kinds == k)), self.strings, recall) for k in np.unique(kinds[long])}
+
+    def _table(self, size: int, members: list[int]):
+        """(grams in order, their items, their places, filter) of the items that are found by pieces of this size."""
+        grams = [grams_of(self.strings[j], size) for j in members]
+        gram = np.concatenate(grams)
+        item = np.repeat(np.array(members, np.int64), [len(g) for g in grams])
+        at = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.argsort(gram, kind="stable")
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits[(gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        return gram[order], item[order], at[order], np.packbits(bits)
+
+    def hits(self, w: np.ndarray):
+        """Parts of (items, starts) of windows around intact pieces of a text; a start may lie before it. No part has many more than CELLS."""
+        for size, (gram, item, at, bits) in self.tables.items():
+            g = grams_of(w, size)
+            slot = g >> np.uint64(64 - FILTER_BITS)
+            near = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            lo, hi = np.searchsorted(gram, g[near], "left"), np.searchsorted(gram, g[near], "right")
+            near, lo, count = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if not len(near):
+                continue
+            part = np.cumsum(count) // CELLS
+            for p in np.unique(part):
+                mine = part == p
+                c = count[mine]
+                place = np.repeat(near[mine], c)
+                k = np.repeat(lo[mine], c) + np.arange(len(place)) - np.repeat(np.cumsum(c) - c, c)
+                yield item[k], place - at[k]
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(text, item's index, edits, first word) of verified matches, the best of each text and item."""
-        found = []
-        owners, windows = [], []
-        for t, w in enumerate(texts):
-            got = self.windows(w) if len(self.ids) else ()
-            if len(got):
-                owners.append(np.full(len(got), t))
-                windows.append(got)
-        if not owners:
-            return []
-        owner, window = np.concatenate(owners), np.concatenate(windows)
-        for k in range(0, len(owner), 256):
-            found += self._verified(texts, owner[k : k + 256], window[k : k + 256])
+        """(text, item's index, edits, first word) of verified matches, the best of each text and item; the word is where the first window of that match begins."""
         best: dict = {}
-        for t, item, edits, at in found:
-            best[t, item] = min(best.get((t, item), (edits, at)), (edits, at))
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def close() -> None:
+            for t, item, edits, at in self._verified(texts, np.unique(np.concatenate(waiting), axis=0)):
+                best[t, item] = min(best.get((t, item), (edits, at)), (edits, at))
+            waiting.clear()
+
+        for t, w in enumerate(texts):
+            for item, start in self.hits(w):
+                n = self.n[item]
+                for j, at in zip(*(x.tolist() for x in firsts(item[n < LEAST_WORDS], start[n < LEAST_WORDS]))):
+                    best[t, j] = min(best.get((t, j), (0, at)), (0, at))
+                item, start, n = item[n >= LEAST_WORDS], start[n >= LEAST_WORDS], n[n >= LEAST_WORDS]
+                if len(item):
+                    waiting.append(np.unique(np.stack([kind_of(n), n, np.full(len(n), t), start], axis=1), axis=0))
+                    size += len(waiting[-1])
+                    if size >= CELLS // 16:
+                        close()
+                        size = 0
+        if waiting:
+            close()
         return [(t, item, *v) for (t, item), v in sorted(best.items())]
 
-    def _verified(self, texts, owner, window) -> list:
-        start, n = window[:, 0], window[:, 1]
-        x, _ = padded([texts[t][max(0, s) : max(0, s + k)] for t, s, k in zip(owner, start, n)])
-        x = np.pad(x, ((0, 0), (0, max(0, int(n.max()) + 1 - x.shape[1]))))
-        keys = walk(x, n, self.walks, 7)
-        pairs = set()
-        for r in range(self.walks):
-            lo, hi = np.searchsorted(self.keys[r], keys[r], "left"), np.searchsorted(self.keys[r], keys[r], "right")
-            for i in np.flatnonzero(hi > lo):
-                pairs.update((int(i), int(j)) for j in self.order[r, lo[i] : hi[i]])
+    def _verified(self, texts, windows: np.ndarray) -> list:
+        """windows: rows (kind, words, text, start) in order."""
+        pairs = []
+        for k in np.unique(windows[:, 0]):
+            kind = self.kinds[int(k)]
+            mine = windows[windows[:, 0] == k]
+            for part in batches_of(mine[:, 1]):
+                _, n, owner, start = mine[part].T
+                x, _ = padded([texts[t][max(0, s) : max(0, s + m)] for t, s, m in zip(owner, start, n)], int(n.max()))
+                keys = walk(x, n, kind.walks, 7)
+                found = []
+                for r in range(kind.walks):
+                    lo, hi = np.searchsorted(kind.keys[r], keys[r], "left"), np.searchsorted(kind.keys[r], keys[r], "right")
+                    c = hi - lo
+                    if c.any():
+                        at = np.repeat(lo, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                        found.append(np.stack([owner.repeat(c), kind.items[r][at], start.repeat(c)], axis=1))
+                if found:
+                    pairs.append(np.unique(np.concatenate(found), axis=0))
         if not pairs:
             return []
-        at, item = np.array(sorted(pairs)).T
-        d = np.array([allowed(int(k)) for k in self.n[item]])
-        seg, m = padded([texts[owner[i]][max(0, start[i] - e) : max(0, start[i] + k + e)] for i, k, e in zip(at, self.n[item], d)])
-        edits = align(self.x[item], self.n[item], seg, m)
-        return [(int(owner[i]), int(j), int(e), max(0, int(start[i]))) for i, j, e, most in zip(at, item, edits, d) if e <= most]
+        # candidates of one text and item whose segments overlap are aligned at once
+        t, j, start = np.unique(np.concatenate(pairs), axis=0).T
+        d = (EDITS * self.n[j] + 1e-9).astype(np.int64)
+        lo, hi = np.maximum(0, start - d), start + self.n[j] + d
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (j[1:] != j[:-1]) | (lo[1:] > hi[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(t)) - 1
+        t, j, d, lo, hi, start = t[first], j[first], d[first], lo[first], hi[last], np.maximum(0, start[first])
+        order = np.argsort(hi - lo, kind="stable")
+        out = []
+        for part in batches_of((hi - lo)[order]):
+            at = order[part]
+            item, n = padded([self.strings[k] for k in j[at]])
+            seg, m = padded([texts[a][b:c] for a, b, c in zip(t[at], lo[at], hi[at])])
+            edits = align(item, n, seg, m)
+            out += [(int(t[a]), int(j[a]), int(e), int(start[a])) for a, e in zip(at, edits) if e <= d[a]]
+        return out
+
+
+def firsts(item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each item once, with its first place."""
+    order = np.lexsort((at, item))
+    turn = np.flatnonzero(np.diff(item[order], prepend=-1))
+    return item[order][turn], at[order][turn]
 
 
 def grams_of(w: np.ndarray, k: int) -> np.ndarray:
@@ -181,26 +272,51 @@ def grams_of(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def walks_for(strings: list[np.ndarray], recall: float, trials: int = 64) -> int:
-    """How many walks find pairs at the largest allowed distance with this recall, by simulated edits of (up to 100 of) the items."""
-    rng = np.random.default_rng(11)
-    one, two = [], []
-    for k in rng.permutation(len(strings))[:100]:
-        w = list(strings[k])
-        for _ in range(allowed(len(w))):
+def simulated(strings: list[np.ndarray], rows: int, piece: int, most: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, window) pairs as rows, and where each trial's rows begin: items of one length with the largest allowed number of random edits, in a text of other words, and the windows (up to ``most``) around their intact pieces."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: rng.integers(1, 2**63, k, dtype=np.uint64).tolist()
+    one, two, turns = [], [], []
+    for r in range(rows):
+        item, w = strings[r % len(strings)], strings[r % len(strings)].tolist()
+        n = len(item)
+        for _ in range(allowed(n)):
             at, kind = int(rng.integers(len(w))), int(rng.integers(3))
-            fresh = np.uint64(rng.integers(1, 2**63))
-            w[at : at + (kind != 1)] = [fresh] if kind != 2 else []
-        one.append(strings[k])
-        two.append(np.array((w + [np.uint64(0)] * len(strings[k]))[: len(strings[k])], np.uint64))
-    x, n = padded(one)
-    y, _ = padded(two)
-    share = (walk(x, n, trials, 3) == walk(y, n, trials, 3)).mean(axis=0)
-    share = np.maximum(share, 0.5 / trials)
-    walks = 4
-    while (1 - (1 - share) ** walks).mean() < recall:
-        walks += 4
-    return walks
+            w[at : at + (kind != 1)] = fresh(1) if kind != 2 else []
+        text = np.array([*fresh(n), *w, *fresh(n)], np.uint64)
+        own, other = grams_of(item, piece), grams_of(text, piece)
+        order = np.argsort(own, kind="stable")
+        lo = np.searchsorted(own[order], other)
+        place = np.flatnonzero(own[order][np.minimum(lo, len(own) - 1)] == other)
+        starts = np.unique(place - order[lo[place]])
+        starts = rng.permutation(starts[(starts >= 0) & (starts + n <= len(text))])[:most]
+        turns.append(len(one))
+        one += [item] * max(1, len(starts))
+        two += [text[s : s + n] for s in starts] or [text[:n]]
+    return padded(one)[0], padded(two)[0], np.array(turns)
+
+
+def walks_for(strings: list[np.ndarray], recall: float) -> int:
+    """How many of the walks find items of any of these lengths with this recall, at the largest allowed distance.
+
+    Measured by simulated edits at the shortest length, the longest and two between; these may miss half as many, and half as many walks again are taken.
+    """
+    by: dict[int, list] = {}
+    for s in strings:
+        by.setdefault(len(s), []).append(s)
+    lengths = sorted(by)
+    trials = [(n, simulated(by[n], int(np.clip(25_000 // n, 8, 250)), piece_of(n), 16 if n < 500 else 4)) for n in sorted({lengths[round(k * (len(lengths) - 1) / 3)] for k in range(4)})]
+    walks = 16
+    while True:
+        shares = []
+        for n, (x, y, turns) in trials:
+            same = [walk(x[p], np.full(len(x[p]), n), walks, 7) == walk(y[p], np.full(len(x[p]), n), walks, 7) for p in batches_of(np.full(len(x), n))]
+            of_trial = np.logical_or.reduceat(np.concatenate(same, axis=1), turns, axis=1)
+            shares.append(np.logical_or.accumulate(of_trial, axis=0).mean(axis=1))
+        enough = np.flatnonzero(np.min(shares, axis=0) >= (1 + recall) / 2)
+        if len(enough):
+            return (int(enough[0]) + 1) * 3 // 2
+        walks *= 2
 
 
 def id_type(items: DataFrame, item: str) -> DataType:
@@ -209,76 +325,103 @@ def id_type(items: DataFrame, item: str) -> DataType:
     return LongType() if isinstance(kind, IntegralType) else kind
 
 
-def item_blocks(items: DataFrame, item: str, item_text: str):
-    """The items, in blocks of about BLOCK_ITEMS, each ready to be searched for. Those that repeat an id share a block; those without one are dealt by text."""
+def item_blocks(items: DataFrame, item: str, item_text: str, shortest: int):
+    """The items, in blocks of about BLOCK_ITEMS and BLOCK_BYTES, each ready to be searched for. Those that repeat an id share a block; those without one are dealt by text."""
     rows = items.select(F.col(f"`{item}`").cast(id_type(items, item)).alias("i"), utf8(F.col(f"`{item_text}`")).alias("t"))
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES))
     for b in range(blocks):
         dealt = F.pmod(F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("i")), F.lit(blocks))
         held = [(r["i"], bytes(r["t"])) for r in rows.filter(dealt == b).toLocalIterator()]
-        yield Items(sorted(held, key=lambda r: (False, r[1]) if r[0] is None else (True, *r)))
+        yield Items(sorted(held, key=lambda r: (False, r[1]) if r[0] is None else (True, *r)), shortest=shortest)
+
 
+def searched(batches, blocks, at: int):
+    """(batches, matches): Arrow batches of about TEXT_BYTES of texts (column ``at``), and for each text the matches (block, item, edits, first word).
+
+    A worker that has several blocks to search loads one after the other, so each text is read and cut into words once.
+    """
 
-def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``contaminated``. Nothing is shuffled."""
+    def close(group):
+        texts = units([x.encode() if isinstance(x, str) else x or b"" for b in group for x in b.column(at).to_pylist()])
+        found: list[list] = [[] for _ in texts]
+        for block in blocks:
+            it = block.value
+            for t, j, e, first in it.matches(texts):
+                found[t].append((it, j, e, first))
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # it is loaded again from the worker's disk
+        return found
+
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= TEXT_BYTES or len(blocks) == 1:
+            yield group, close(group)
+            group, size = [], 0
+    if group:
+        yield group, close(group)
+
+
+def without_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shortest: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``contaminated``. Rows without text stay. Nothing is shuffled."""
     spark = docs.sparkSession
     python_on_executors(spark)
     at = docs.columns.index(text)
-    for block in item_blocks(items, item, item_text):
-        held = spark.sparkContext.broadcast(block)
+    held = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item, item_text, shortest)]
 
-        def run(batches, held=held):
-            words = WordHashes()
-            for batch in batches:
-                bad = {m[0] for m in held.value.matches([units(words, (x or "").encode()) for x in batch.column(at).to_pylist()])}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
+    def run(batches):
+        for group, found in searched(batches, blocks, at):
+            for batch in group:
+                clean, found = [not f for f in found[: batch.num_rows]], found[batch.num_rows :]
+                yield batch if all(clean) else batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return held.mapInArrow(run, held.schema).toDF(*docs.columns)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shortest: int = LEAST_WORDS) -> DataFrame:
     """(key, item_id, edits, item_words, similarity, first_word): documents that hold a benchmark item with at most EDITS of its words edited.
 
     Words as everywhere here: A-Z in lower case, separated by white space; besides, each
     character of a script without spaces is one. One row for each
-    document and item, the match of least edits (then the first). Null or empty texts and
-    items with fewer than LEAST_WORDS words match nothing. Items that repeat an id count
-    as one; items with a null id count each for itself. Nothing is shuffled: items are searched in blocks that each worker holds.
+    row of documents and item, the match of least edits (then the first). Null or empty texts and
+    items of fewer than ``shortest`` words match nothing; items below LEAST_WORDS match word for word. Items that repeat an id count
+    as one; items with a null id count each for itself. Rows that repeat a key are documents of their own; a key of any type, null too, is
+    carried along. Other columns are left out. Nothing is shuffled: items are searched in blocks that each worker loads in turn.
     """
     spark = docs.sparkSession
     python_on_executors(spark)
-    schema = docs.select(F.col(f"`{key}`").alias(key)).schema
+    schema = docs.select(F.col(f"`{key}`").alias("key")).schema
     of_item = id_type(items, item)
     for name, kind in (("item_id", of_item), ("edits", "integer"), ("item_words", "integer"), ("similarity", "double"), ("first_word", "long")):
         schema = schema.add(name, kind)
-    texts = docs.select(F.col(f"`{key}`"), utf8(F.col(f"`{text}`")).alias("__body"))
     kinds = (to_arrow_type(of_item), pa.int32(), pa.int32(), pa.float64(), pa.int64())
-    found = None
-    for block in item_blocks(items, item, item_text):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches, held=held):
-            it, words = held.value, WordHashes()
-            for batch in batches:
-                keys = batch.column(0)
-                texts_ = [units(words, x) for x in batch.column(1).to_pylist()]
-                got = {}
-                for t, j, e, at in it.matches(texts_):
-                    k = (t, it.ids[j], j if it.ids[j] is None else -1)
-                    got[k] = min(got.get(k, (1 << 30,)), (e, at, int(it.n[j])))
-                if got:
-                    rows_ = [(i, e, n, round(1 - e / n, 6), at) for (_, i, _), (e, at, n) in got.items()]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([t for t, _, _ in got])), *[pa.array(c, k) for c, k in zip(zip(*rows_), kinds)]], schema.names)
-
-        part = texts.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item, item_text, shortest)]
+
+    def run(batches):
+        for group, found in searched(batches, blocks, 1):
+            for batch in group:
+                rows, places = [], []
+                for place, matches in enumerate(found[: batch.num_rows]):
+                    got: dict = {}
+                    for it, j, e, at in matches:
+                        k = (it.ids[j], id(it) if it.ids[j] is None else 0, j if it.ids[j] is None else -1)
+                        got[k] = min(got.get(k, (1 << 30,)), (e, at, int(it.n[j])))
+                    rows += [(i, e, n, round(1 - e / n, 6), at) for (i, _, _), (e, at, n) in got.items()]
+                    places += [place] * len(got)
+                found = found[batch.num_rows :]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], schema.names)
+
+    texts = docs.select(F.col(f"`{key}`").alias("key"), utf8(F.col(f"`{text}`")).alias("body"))
+    return texts.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items in all documents."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Benchmark items of any length in all documents."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 QUERIES = {"op6_decontamination": op6_decontamination}

@@ -34,11 +34,10 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     schema = docs.select(F.col(f"`{key}`").alias("key")).schema.add("print", "long").add("n_shingles", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
 
     def run(batches):
-        words = S.WordHashes()
         for b in batches:
             size, node, bands, sig = [], [], [], []
-            for body in b.column(2).to_pylist():
-                sh = S.shingles(words.of(body))
+            for words in S.hashes_of(b.column(2).to_pylist()):
+                sh = S.shingles(words)
                 size.append(len(sh))
                 m = S.minima(sh) if len(sh) else None
                 node.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(sh.tobytes())))) if len(sh) else None)
@@ -91,12 +90,12 @@ def verify(tasks: DataFrame, num: int, den: int) -> DataFrame:
     python_on_executors(tasks.sparkSession)
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def block(rows: list, words: S.WordHashes):
+    def block(rows: list):
         kept: dict[int, np.ndarray] = {}
 
         def sets(i: int) -> np.ndarray:
             if i not in kept:
-                kept[i] = S.shingles(words.of(rows[i][4]))
+                kept[i] = S.shingles(S.hashes_of([rows[i][4]])[0])
             return kept[i]
 
         rows.sort(key=lambda r: (r[1], not r[0]))
@@ -105,17 +104,17 @@ def verify(tasks: DataFrame, num: int, den: int) -> DataFrame:
         return compare([r[1] for r in rows], np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), sigs, sets, num, den)
 
     def run(batches):
-        words, task, rows = S.WordHashes(), None, []
+        task, rows = None, []
         for b in batches:
             out = []
             for t, *row in zip(*[c.to_pylist() for c in b.columns]):
                 if t != task:
-                    out += block(rows, words) if len(rows) > 1 else []
+                    out += block(rows) if len(rows) > 1 else []
                     task, rows = t, []
                 rows.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "hub"])
-        if len(rows) > 1 and (out := block(rows, words)):
+        if len(rows) > 1 and (out := block(rows)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "hub"])
 
     dealt = tasks.select("task", "active", "node", "n_shingles", "sig", "body").repartition(parts, "task").sortWithinPartitions("task")

@@ -22,22 +22,90 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept until there are many of them."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h
-        return h
-
-    def of(self, body: bytes) -> np.ndarray:
-        """Hashes of the words of a text in order; A-Z in lower case. bytes.split() separates at \\x20 and \\x09-\\x0D."""
-        words = body.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes that separate words.
+SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+#: Bytes of text that are hashed together; a longer text is cut between words.
+SEGMENT = 1 << 16
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+INVERSE = pow(int(MULT), -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_held: dict[str, np.ndarray] = {"table": np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)}
+
+
+def _hash_words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of lower-case bytes that begin and end with a separator.
+
+    The hash is a polynomial in the word's bytes, taken from running sums of the whole array.
+    """
+    if len(_held.get("up", ())) < len(x) + 1:
+        n = max(SEGMENT + 2, len(x) + 1)
+        _held["up"], _held["down"] = _powers(int(MULT), n), _powers(INVERSE, n)
+    edge = np.flatnonzero(np.diff(SPACE[x])) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    sums = _held["table"][x]
+    sums *= _held["down"][: len(x)]
+    np.cumsum(sums, out=sums)
+    h = mix((sums[ends - 1] - sums[starts - 1]) * _held["up"][ends])
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(x[starts[k] : ends[k]].tobytes())
+    return h, starts, ends
+
+
+def _segments(body: bytes):
+    """A long text in pieces that end at a separator."""
+    at = 0
+    while len(body) - at > SEGMENT:
+        piece = np.frombuffer(body, np.uint8, SEGMENT, at)
+        gap = np.flatnonzero(SPACE[piece])
+        end = at + int(gap[-1]) + 1 if len(gap) else at + SEGMENT
+        while not len(gap) and end < len(body) and not SPACE[body[end]]:  # one word runs through the segment
+            end += 1
+        yield body[at:end]
+        at = end
+    yield body[at:]
+
+
+def words_of(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the hashes of its words in order, and their last two bytes as a number (the second to last is the low one; a word of one byte stands alone).
+
+    A-Z count as lower case; words are separated by \\x20 and \\x09-\\x0D. Short texts are hashed together.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[bytes] = []
+    size = 0
+    for body in bodies:
+        if held and size + len(body) > SEGMENT:
+            out += _hashed(held)
+            held, size = [], 0
+        if len(body) > SEGMENT:
+            parts = [_hashed([piece])[0] for piece in _segments(body)]
+            out.append((np.concatenate([h for h, _ in parts]), np.concatenate([t for _, t in parts])))
+        else:
+            held.append(body)
+            size += len(body) + 1
+    return out + (_hashed(held) if held else [])
+
+
+def _hashed(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    x = np.frombuffer((b" " + b" ".join(bodies) + b" ").lower(), np.uint8)
+    h, starts, ends = _hash_words(x)
+    last = x[ends - 1].astype(np.uint16)
+    tail = np.where(ends - starts > 1, x[ends - 2] | last << np.uint16(8), last)
+    at = np.searchsorted(starts, np.cumsum([1] + [len(b) + 1 for b in bodies]))
+    return [(h[a:b], tail[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
+def hashes_of(bodies: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text in order; see ``words_of``."""
+    return [h for h, _ in words_of(bodies)]
 
 
 def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
