@@ -60,6 +60,22 @@ def test_slots_have_no_gaps_in_groups(spark, monkeypatch):
         assert r["n"] == r["d"] == r["b"] + 1 and r["a"] == 0
 
 
+def test_slots_of_hot_keys(spark, monkeypatch):
+    """A third of all rows has one key, another third none."""
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 4)
+    d = spark.range(600).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("a.b"), F.lit("x").alias("slot"), F.repeat(F.lit("long text "), 100_000).alias("text"))
+    placed = sharding.rendezvous(d.withColumn("__scores", F.lit(1)), "a.b", [1.0] * 3)
+    assert placed.columns == ["a.b", "slot", "text", "__scores", "shard", "grown_shard"]
+    got = sharding.slots(placed.drop("text"), "shard", "a.b").collect()
+    assert len(got) == 600
+    for k in range(3):
+        mine = [r["slot"] for r in got if r["shard"] == k]
+        assert sorted(mine) == list(range(len(mine)))
+    # rows of one key lie together
+    hot = sorted(r["slot"] for r in got if r["a.b"] == 7)
+    assert hot[-1] - hot[0] == len(hot) - 1 >= 199
+
+
 # --- mixing ---
 
 
@@ -69,6 +85,8 @@ def test_targets_are_filled(spark):
     assert t["a"]["target"] == 3000 and t["b"]["target"] == 180_000  # a weighs 1, b 2, big 3, null 1
     assert t[None]["target"] == 117_000 and t["big"]["target"] == 700_000
     assert sum(r["target"] for r in t.values()) == pytest.approx(1_000_000)
+    tied = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 100), ("b", 200), ("c", 300)], "source string, source_size long")).collect()}
+    assert tied == {"a": 100, "b": 200, "c": 300}  # all reach their caps at one level
 
 
 def test_mix_is_near_its_targets_and_repeatable(spark):
@@ -94,6 +112,30 @@ def test_unequal_inclusion_and_nulls(spark):
     assert [x["taken"] for x in mixing.pareto_mix(empty).collect()] == [0, 0, 0]
 
 
+def test_capped_weights_still_meet_the_target(spark):
+    """Two sources; the weights of many rows are at the cap, and what they cannot take goes to the others."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.when(F.col("id") % 10 == 0, 500).when(F.col("id") % 10 == 1, 40).otherwise(1).alias("w"), F.lit(0).alias("a.b"))
+    got = mixing.pareto_mix(d, weight="w").collect()
+    assert got and set(got[0].asDict()) == {"doc_id", "source", "size", "w", "a.b", "source_size", "target", "copies", "taken"}
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 50
+        assert all(r["copies"] == 3 for r in mine if r["w"] == 500) and max(r["copies"] for r in mine) == 3
+        assert mine[0]["target"] > 3 * sum(r["size"] for r in mine if r["w"] == 500)
+
+
+def test_rows_of_one_key(spark):
+    """A third of the rows are the same; of these some are taken, and reruns take as many."""
+    d = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("source"), F.lit(10).cast("long").alias("size"))
+    one, two = (sorted(mixing.pareto_mix(x).collect()) for x in (d, d.repartition(7)))
+    assert one == two
+    for s in "st":
+        mine = [r for r in one if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
+    nokey = mixing.pareto_mix(d.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.repeat(F.lit("word "), 100_000))).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 10 for r in nokey)
+
+
 # --- audio ---
 
 

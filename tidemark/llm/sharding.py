@@ -34,35 +34,56 @@ def rendezvous(df: DataFrame, key: str, weights: Sequence[float], grown: float |
     """Add the shard of each row's key; with ``grown`` also its shard if one more shard of that weight is added.
 
     A null key is a key like any other; equal keys go to one shard; ties between
-    scores go to the lower shard. Columns that already have the new names are replaced.
+    scores go to the lower shard. Columns that already have the new names are replaced, all others kept.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive, and at least one")
     every = [*weights, *([grown] if grown is not None else [])]
     scores = [F.lit(-float(w)) / F.ln(u) for w, u in zip(every, lanes(F.col(f"`{key}`"), len(every)))]
-    held = df.withColumn("__scores", F.array(*scores))
-    first = F.slice("__scores", 1, len(weights))
+    every_score = "__scores"
+    while every_score in df.columns:
+        every_score += "_"
+    held = df.withColumn(every_score, F.array(*scores))
+    first = F.slice(every_score, 1, len(weights))
     cols = {shard: (F.array_position(first, F.array_max(first)) - 1).cast("int")}
-    cols[grown_shard] = (F.array_position("__scores", F.array_max("__scores")) - 1).cast("int") if grown is not None else F.lit(None).cast("int")
-    return held.withColumns(cols).drop("__scores")
+    cols[grown_shard] = (F.array_position(every_score, F.array_max(every_score)) - 1).cast("int") if grown is not None else F.lit(None).cast("int")
+    return held.withColumns(cols).drop(every_score)
 
 
 def slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, in the order of (MD5 of the key, key).
+    """Number the rows of each shard from 0 without gaps, in the order of (MD5 of the key, key); rows of one key in any order.
 
     A shard may hold a large part of all rows, so it is numbered in groups of
-    equal leading bits of that MD5: a group's offset is the sum of the counts before it.
+    equal leading bits of that MD5: a group's offset is the sum of the counts before it. A group stays far larger than the others only
+    if rows repeat a key, null too: its rows are dealt to cells of (key, salt), which are numbered in the same way. Columns that
+    begin with two underscores, and one of the slot's name, are replaced.
     """
     n = df.count()
     bits = max(0, min(40, (max(1, n) // GROUP_ROWS).bit_length() - 5))
     at = F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
-    held = df.withColumn("__at", at).withColumn("__group", F.shiftright("__at", 48 - bits) if bits else F.lit(0).cast("long"))
-    counts = held.groupBy(F.col(shard).alias("__s"), F.col("__group").alias("__g")).agg(F.count("*").alias("__n"))
+    kept = [c for c in df.columns if not c.startswith("__") and c != slot]
+    held = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__at", at).withColumn("__group", F.shiftright("__at", 48 - bits) if bits else F.lit(0).cast("long"))
+    # the salt is stored, so that rows keep it wherever they are read again
+    held = checkpointed(held.withColumn("__salt", F.monotonically_increasing_id() % 4096))
+    counts = checkpointed(held.groupBy(F.col(f"`{shard}`").alias("__s"), F.col("__group").alias("__g")).agg(F.count("*").alias("__n")))
     before = W.partitionBy("__s").orderBy("__g").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__s", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = W.partitionBy(shard, "__group").orderBy("__at", key, *[c for c in ("size", "text_crc32") if c in df.columns])
-    numbered = held.withColumn("__k", F.row_number().over(inside))
-    return numbered.join(offsets, (F.col(shard) == F.col("__s")) & (F.col("__group") == F.col("__g"))).withColumn(slot, (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__at", "__group", "__s", "__g", "__k", "__before")
+    offsets = counts.select("__s", "__g", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    here = (F.col(f"`{shard}`") == F.col("__s")) & (F.col("__group") == F.col("__g"))
+
+    def numbered(rows: DataFrame, *within: str) -> DataFrame:
+        inside = W.partitionBy("__s", "__g", *within).orderBy("__at", F.col(f"`{key}`"))
+        return rows.withColumn(slot, (F.col("__before") + F.row_number().over(inside) - 1).cast("long")).select(*[F.col(f"`{c}`") for c in kept], slot)
+
+    placed = held.join(offsets, here)
+    large = F.col("__n") > 8 * GROUP_ROWS
+    if counts.filter(large).isEmpty():
+        return numbered(placed)
+    crowded = placed.filter(large)
+    cells = crowded.groupBy(F.col("__s").alias("__s2"), F.col("__g").alias("__g2"), F.col("__at").alias("__at2"), F.col(f"`{key}`").alias("__key2"), F.col("__salt").alias("__salt2")).agg(F.count("*").alias("__m"))
+    cells = cells.withColumn("__ahead", F.coalesce(F.sum("__m").over(W.partitionBy("__s2", "__g2").orderBy("__at2", "__key2", "__salt2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    same = (F.col("__s") == F.col("__s2")) & (F.col("__g") == F.col("__g2")) & (F.col("__at") == F.col("__at2")) & F.col(f"`{key}`").eqNullSafe(F.col("__key2")) & (F.col("__salt") == F.col("__salt2"))
+    dealt = crowded.join(cells, same).withColumn("__before", F.col("__before") + F.col("__ahead"))
+    return numbered(placed.filter(~large)).unionByName(numbered(dealt, "__at", f"`{key}`", "__salt"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
