@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session in which it is unset (tests on one machine) gets a local
-    folder of its own.
+    Only a session on one machine may leave it unset (tests), and gets a local
+    folder of its own; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or _local.get("dir")
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _local["dir"] = tempfile.mkdtemp(prefix="tidemark-")
     return named.rstrip("/")
 
@@ -51,6 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df, codec="snappy")
 
 
+#: Rows of a narrow table (keys and hashes, some 50 bytes a row) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def for_join(narrow: DataFrame, rows: int) -> DataFrame:
+    """A narrow table with so many rows as a join's side: broadcast up to BROADCAST_ROWS, beyond that both sides are sorted and merged."""
+    return F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow.hint("merge")
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; null counts as empty."""
     return F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")

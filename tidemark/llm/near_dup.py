@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shingles as S
-from tidemark.llm.common import python_on_executors, checkpointed, join_by_frequency, table, utf8, written
+from tidemark.llm.common import checkpointed, for_join, join_by_frequency, python_on_executors, table, utf8, written
 from tidemark.llm.components import components
 
 #: Nodes that are compared all with all in one task.
@@ -121,13 +121,12 @@ def verify(tasks: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "node long, hub long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row: documents are linked if den * common >= num * union.
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100) -> DataFrame:
+    """(key, print, n_shingles, component, first) of each row: documents are linked if den * common >= num * union.
 
-    component_id is the smallest key that links can reach. Null and empty texts have no
-    shingles and stand alone. Rows that repeat a key and text are in one component, and
-    all of them are kept if that key is the smallest; a null key is never the
-    smallest of a component that has another. Other columns are left out.
+    print is a hash of the text, component the smallest key that links can reach; first marks the rows of that key and of its
+    smallest print, which stand for the component: more than one only if rows repeat key and text. Null and empty texts have no
+    shingles and stand alone, each row for itself. A null key is never the smallest of a component that has another. Other columns are left out.
     """
     sig = checkpointed(signatures(docs, key, text))
     full = sig.filter("node is not null")
@@ -142,9 +141,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("print"), body.alias("body"))
     info = nodes.select("node", F.col("rep.key").alias("rep"), F.col("rep.print").alias("own"), "n_shingles", "sig")
 
-    # the texts of candidates are fetched once, by a merge join at every size, and kept in the shared folder
-    wanted = placed.select("node").distinct().join(info, "node")
-    bodies = written(wanted.join(texts.hint("merge"), wanted["rep"].eqNullSafe(texts["key"]) & (wanted["own"] == texts["print"])).select("node", "n_shingles", "sig", "body"), "candidates")
+    # the texts of candidates are fetched once, by a join on keys, and kept in the shared folder
+    wanted = checkpointed(placed.select("node").distinct().join(info, "node"))
+    asked = for_join(wanted.select(F.col("node").alias("n"), "rep", "own"), wanted.count())
+    bodies = texts.join(asked, F.col("rep").eqNullSafe(F.col("key")) & (F.col("own") == F.col("print"))).select("n", "body")
+    if not full.groupBy("key", "print").count().filter("count > 1").isEmpty():
+        bodies = bodies.groupBy("n").agg(F.first("body").alias("body"))  # rows that repeat key and text
+    bodies = written(bodies.join(wanted, F.col("n") == F.col("node")).select("node", "n_shingles", "sig", "body"), "candidates")
 
     def tasks(rows: DataFrame) -> DataFrame:
         """Rows (task, active, node) with signature and text."""
@@ -174,11 +177,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
             if not more.isEmpty():
                 found = checkpointed(components(links.union(more)))
     least = nodes.join(found, "node", "left").select("node", "copies", "rep", F.coalesce("label", "node").alias("label"))
-    tops = least.groupBy("label").agg(F.min("rep")["key"].alias("component"), F.count("*").alias("n"))
-    named = join_by_frequency(least, checkpointed(tops), "label", "n", max(1, nodes.count())).select("node", "copies", "component")
-    out = join_by_frequency(sig.select("key", "n_shingles", "node"), checkpointed(named), "node", "copies", max(1, sig.count()))
-    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    tops = least.groupBy("label").agg(F.min("rep").alias("top"), F.count("*").alias("n"))
+    named = join_by_frequency(least, checkpointed(tops), "label", "n", max(1, nodes.count())).select("node", "copies", "top")
+    out = join_by_frequency(sig.select("key", "print", "n_shingles", "node"), checkpointed(named), "node", "copies", max(1, sig.count()))
+    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("top.key"))
+    first = F.col("node").isNull() | (F.col("key").eqNullSafe(F.col("top.key")) & (F.col("print") == F.col("top.print")))
+    return out.select("key", "print", "n_shingles", component.alias("component"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row; see ``near_groups``.
+
+    Rows that repeat a key and text are in one component, and all of them are kept if that key is the smallest.
+    """
+    out = near_groups(docs, key, text, num, den)
+    return out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, num: int = 85, den: int = 100) -> DataFrame:
+    """One row of each component, with all its columns, and every row whose text is null or empty of words.
+
+    It is a row of the smallest key, then of the smallest hash of the text, then of the smallest hash of all columns.
+    """
+    held = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    key, text = (held.columns[docs.columns.index(c)] for c in (key, text))
+    groups = checkpointed(near_groups(held, key, text, num, den))
+    pairs = groups.filter("n_shingles > 0").groupBy("key", "print").agg(F.first("first").alias("first"), F.count("*").alias("rows"))
+    # what goes, and what is there more than once; both are few beside the documents
+    moot = checkpointed(pairs.filter("not first or rows > 1").select(F.col("key").alias("k"), F.col("print").alias("p"), "first"))
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(utf8(F.col(text))) == F.col("p"))
+    clear = held.join(for_join(moot, moot.count()), same, "left_anti")
+    repeated = moot.filter("first")
+    if (n := repeated.count()) > 0:
+        rows = held.join(for_join(repeated, n), same).withColumn("all", F.struct(*held.columns))
+        one = rows.groupBy("k", "p").agg(F.min_by("all", F.xxhash64(*held.columns)).alias("one"))
+        clear = clear.unionByName(one.select("one.*"))
+    return clear.toDF(*docs.columns)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
