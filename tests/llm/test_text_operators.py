@@ -123,6 +123,35 @@ def test_base_scores_and_learning(spark, monkeypatch):
     assert all(r["score"] <= 0 for r in got)
 
 
+def test_scores_do_not_hang_on_the_layout(spark, monkeypatch):
+    """More than ten chunks, laid out in two ways, one of them backwards; and keys that are text."""
+    monkeypatch.setattr(gru_lm, "CHUNK_BYTES", 3000)
+    rng = random.Random(9)
+    rows = [(f"k{i}" if i % 9 else None, prose(rng, rng.randint(1, 60), 60) + f" The End {i}.") for i in range(400)]
+    held = F.crc32(F.coalesce(F.col("doc_id"), F.lit("")).cast("binary")) % 10 == 0
+    score = lambda r, n: {(x["doc_id"], x["n_tokens"], round(x["base_score"], 6)): x["score"] for x in gru_lm.scored(spark.createDataFrame(r, "doc_id string, text string").repartition(n), held).collect()}
+    one, two = score(rows, 2), score(rows[::-1], 9)
+    assert one.keys() == two.keys() and len(one) > 390
+    assert all(abs(one[k] - two[k]) <= 1e-3 * abs(one[k]) for k in one) and abs(sum(one.values()) - sum(two.values())) <= 1e-3 * abs(sum(one.values()))
+
+
+def test_rows_that_repeat_key_and_text_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "CHUNK_BYTES", 2000)
+    rows = [(7, "the same words again and again")] * 500 + [(i, f"word{i} and others") for i in range(300)]
+    got = gru_lm.scored(spark.createDataFrame(rows, DOC), F.col("doc_id") % 10 == 0).collect()
+    assert len(got) == 800 and len({round(r["base_score"], 9) for r in got if r["doc_id"] == 7 and r["n_tokens"] == 7}) == 1
+    table_, _ = gru_lm.chunks(spark.createDataFrame(rows, DOC), "doc_id", "text", F.lit(False))
+    sizes = [len(r["ids"]) for r in table_.select("ids").collect()]
+    assert sum(sizes) == 800 and max(sizes) < 300
+
+
+def test_gain_over_the_base_on_held_out_text(spark, sf):
+    got = [r for r in gru_lm.op5_gru_lm(spark, sf).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in got)
+    gain = sum(r["score"] - r["base_score"] for r in got) / tokens / math.log10(2)
+    assert gain > 0.5, gain  # bits a token
+
+
 def test_probabilities_of_a_unit_sum_to_one():
     words = np.zeros(40, gru_lm.ENTRY)
     words["word"], words["count"], words["ending"] = np.arange(1, 41), np.arange(40), np.arange(40) % 3

@@ -8,24 +8,27 @@ training tokens, so that every text has a probability. Training is truncated
 back-propagation over windows; states run on through the windows of a document, in
 training and in scoring, and begin anew with each document.
 
-Counts cover every training document. They are found by exchange: each chunk of documents sends
+Documents are dealt to chunks of about CHUNK_BYTES by a hash of key and text, in the order of their keys, so that a chunk
+does not depend on how the input is laid out. Counts cover every training document. They are found by exchange: each chunk sends
 the hashes of its distinct words to the parts that count them, and gets back their
-totals, so that no vocabulary is ever held in one place. Replicas of the network train
-on the chunks of their partition, all of them, from a common start, and are averaged.
+totals, so that no vocabulary is ever held in one place. One replica of the network trains
+on each chunk. Every training document is used in one of a few rounds, which each take a share of
+the documents of every chunk; after a round the replicas are averaged, and the next begins from their mean.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import uuid
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
-from tidemark.llm.common import python_on_executors, table, utf8, written
+from tidemark.llm.common import checkpointed, for_join, python_on_executors, table, utf8, written
 from tidemark.llm.repeats import part_of
+from tidemark.llm.shingles import mix, words_of
 
 HIDDEN = 16
 CLASSES = MEMBERS = 16
@@ -35,9 +38,10 @@ HEAD = ENDINGS = (UNITS - 2) // 2
 WINDOW = 32
 SMOOTH = 0.1
 CHUNK_BYTES = 8 << 20
-RATE, WARM_RATE = 4e-3, 1e-2
-#: Tokens on which one task makes the common start.
-WARM_TOKENS = 400_000
+#: Bytes of texts for each part of an exchange, at most; more text makes more parts.
+PART_BYTES = 64 << 20
+#: Rounds of training: a round's share of the documents of each chunk in sixteenths, its passes and its rate.
+ROUNDS = ((1, 3, 1e-2), (3, 1, 6e-3), (4, 1, 5e-3), (8, 1, 4e-3))
 ENTRY = np.dtype([("word", "<u8"), ("count", "<u4"), ("ending", "<u2")])
 
 
@@ -148,7 +152,7 @@ def gradients(p: dict, inputs: np.ndarray, target: np.ndarray, first: np.ndarray
     g["u"] = before.T @ da.reshape(-1, 3 * HIDDEN)
     g["x"] = np.zeros_like(p["x"])
     ids = inputs.reshape(-1)
-    order = np.argsort(ids.astype(np.uint8), kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     s = ids[order]
     turn = np.flatnonzero(np.diff(s, prepend=-1))
     g["x"][s[turn]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], turn, axis=0)
@@ -237,15 +241,6 @@ def score(p: dict, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # --- chunks and counts ---------------------------------------------------
 
 
-class Local(dict):
-    """Numbers of words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-CHUNK = "chunk long, ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, words binary"
 MESSAGE = "chunk long, part int, body binary, kind int, k long, a long, b long"
 REPLY, TOTAL, ENDING, WORD = 0, 1, 2, 3
 
@@ -262,43 +257,66 @@ def expanded(raw: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * size), np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def chunks(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
-    """Tokens of about CHUNK_BYTES of texts as numbers in a list of the chunk's distinct words (hash, count in training documents, ending)."""
+def dealt(docs: DataFrame, key: str, text: str, held: Column) -> tuple[DataFrame, int]:
+    """(chunk, id, held, body) of all rows, and how many parts their texts fill. Rows of one key and text that fill a chunk by themselves are spread over all chunks."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{key}`").alias("id"), held.alias("held"), utf8(F.col(f"`{text}`")).alias("body")).withColumn("print", F.xxhash64("body"))
+    same = checkpointed(rows.groupBy("id", "print").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")))
+    total = same.agg(F.sum("bytes")).first()[0] or 0
+    count = max(1, -(-total // CHUNK_BYTES))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    chunk = F.pmod(F.xxhash64("id", "print"), F.lit(count))
+    hot = same.filter((F.col("n") > 1) & (F.col("bytes") > CHUNK_BYTES)).select(F.col("id").alias("hot_id"), F.col("print").alias("hot_print"))
+    if (n := hot.count()) > 0:
+        rows = rows.join(for_join(hot, n), F.col("id").eqNullSafe(F.col("hot_id")) & (F.col("print") == F.col("hot_print")), "left")
+        chunk = F.when(F.col("hot_print").isNull(), chunk).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)))
+    return rows.withColumn("chunk", chunk).repartition(parts, "chunk").sortWithinPartitions("chunk", "id", "print").select("chunk", "id", "held", "body"), parts
+
+
+def chunks(docs: DataFrame, key: str, text: str, held: Column) -> tuple[DataFrame, int]:
+    """Chunks of documents, their tokens as numbers in a list of the chunk's distinct words (hash, count in training documents, ending); and the number of parts for exchanges."""
     python_on_executors(docs.sparkSession)
-
-    def close(ids, held_, parts, local):
-        sizes = np.array([len(x) for x in parts], np.int32)
-        tokens = np.concatenate([np.zeros(0, np.int32), *parts])
-        words = np.zeros(len(local), ENTRY)
-        words["word"] = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
-        words["ending"] = np.fromiter((int.from_bytes(w[-2:], "little") for w in local), np.uint16, len(local))
-        teach = np.repeat(~np.array(held_, bool), sizes)
-        words["count"] = np.bincount(tokens[teach], minlength=len(local))
+    rows, parts = dealt(docs, key, text, held)
+    schema = StructType().add("chunk", "long").add("ids", ArrayType(rows.schema["id"].dataType)).add("held", ArrayType(BooleanType())).add("sizes", ArrayType(IntegerType())).add("tokens", "binary").add("words", "binary")
+    kinds = (pa.int64(), pa.list_(to_arrow_type(rows.schema["id"].dataType)), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+
+    def close(chunk, ids, held_, found):
+        sizes = np.array([len(h) for h, _ in found], np.int32)
+        every = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in found]])
+        tails = np.concatenate([np.zeros(0, np.uint16), *[t for _, t in found]])
         # words in the order of their hashes: parts get slices
-        order = np.argsort(words["word"], kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-        row = (uuid.uuid4().int >> 65, ids, held_, sizes.tolist(), compressed(place[tokens]), words[order].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["chunk", "ids", "held", "sizes", "tokens", "words"])
+        distinct, first, tokens = np.unique(every, return_index=True, return_inverse=True)
+        words = np.zeros(len(distinct), ENTRY)
+        words["word"], words["ending"] = distinct, tails[first]
+        teach = np.repeat(~np.array(held_, bool), sizes)
+        words["count"] = np.bincount(tokens[teach], minlength=len(distinct))
+        row = (chunk, ids, held_, sizes.tolist(), compressed(tokens.astype(np.int32)), words.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], schema.names)
 
     def run(batches):
-        ids, held_, parts, local, size = [], [], [], Local(), 0
+        now, ids, held_, found, size, more = None, [], [], [], 0, 0
         for b in batches:
-            for id_, h, body in zip(*[c.to_pylist() for c in b.columns]):
-                w = body.lower().split()
-                ids.append(id_)
-                held_.append(bool(h))
-                parts.append(np.fromiter(map(local.__getitem__, w), np.int32, len(w)))
-                size += len(body)
-                if size >= CHUNK_BYTES or len(ids) >= 20_000:
-                    yield close(ids, held_, parts, local)
-                    ids, held_, parts, local, size = [], [], [], Local(), 0
+            of = b.column(0).to_numpy()
+            turns = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(turns[:-1], turns[1:]):
+                if lo == hi:
+                    continue
+                # a chunk that rows of one key have filled several times over goes on as another
+                if ids and (of[lo] != now or size > 4 * CHUNK_BYTES):
+                    yield close(now if not more else -1 - (now << 20 | more), ids, held_, found)
+                    more = more + 1 if of[lo] == now else 0
+                    ids, held_, found, size = [], [], [], 0
+                now = int(of[lo])
+                part = b.slice(lo, hi - lo)
+                bodies = part.column(3).to_pylist()
+                ids += part.column(1).to_pylist()
+                held_ += [bool(x) for x in part.column(2).to_pylist()]
+                found += words_of(bodies)
+                size += sum(map(len, bodies))
         if ids:
-            yield close(ids, held_, parts, local)
+            yield close(now if not more else -1 - (now << 20 | more), ids, held_, found)
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), held.alias("held"), utf8(F.col(f"`{text}`")).alias("body"))
-    return written(rows.mapInArrow(run, CHUNK), "tokens")
+    return written(rows.mapInArrow(run, schema), "tokens"), parts
 
 
 def _rows(batches):
@@ -423,31 +441,28 @@ def unpack(raw: np.ndarray) -> dict:
 
 
 def fit(table_: DataFrame, units: Units) -> dict:
-    """Weights from all training documents: a common start from one chunk, then replicas on every chunk, averaged by their tokens."""
-    spark = table_.sparkSession
+    """Weights from all training documents, in rounds of one replica a chunk. Chunks are about as large, and their replicas count alike: a chunk that holds one endless text must not outweigh the others."""
     rows = table_.select("held", "sizes", "tokens", "words")
+    shares = np.cumsum([share for share, _, _ in ROUNDS])
 
-    def taught(held, sizes, raw, words, most=None):
-        words, sizes = np.frombuffer(words, ENTRY), np.array(sizes, np.int64)
-        tokens = expanded(raw, np.int32, int(sizes.sum()))
-        keep = ~np.array(held, bool)
-        if most is not None:
-            keep &= np.cumsum(sizes) <= most
-        seq = sequence(tokens[np.repeat(keep, sizes)], sizes[keep], units.of(words)[0])
-        return seq[0], seq[1]
-
-    def replica(start, rate, passes, most):
+    def replicas(start: dict, k: int):
         def run(batches):
-            p, opt, n = {k: v.copy() for k, v in start.items()}, None, 0
-            opt = Adam(p)
-            for row in _rows(batches):
-                seq, sizes = taught(*row, most)
-                for k in range(passes):
-                    if len(seq):
-                        train(p, opt, seq, sizes, rate / (1 + k))
-                n += len(seq)
+            total, n = None, 0
+            for held, sizes, raw, words in _rows(batches):
+                words, sizes = np.frombuffer(words, ENTRY), np.array(sizes, np.int64)
+                round_of = np.searchsorted(shares, mix(np.arange(1, len(sizes) + 1, dtype=np.uint64)) % np.uint64(shares[-1]), side="right")
+                keep = ~np.array(held, bool) & (round_of == k)
+                if not keep.any():
+                    continue
+                tokens = expanded(raw, np.int32, int(sizes.sum()))
+                seq, full, _ = sequence(tokens[np.repeat(keep, sizes)], sizes[keep], units.of(words)[0])
+                p = {name: v.copy() for name, v in start.items()}
+                opt = Adam(p)
+                for again in range(ROUNDS[k][1]):
+                    train(p, opt, seq, full, ROUNDS[k][2] / (1 + again))
+                total, n = np.frombuffer(pack(p)) + (0 if total is None else total), n + 1
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([(np.frombuffer(pack(p)) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
 
         return run
 
@@ -458,18 +473,19 @@ def fit(table_: DataFrame, units: Units) -> dict:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
 
-    def mean(df: DataFrame, start: dict) -> dict:
-        got = df.collect()
-        n = sum(r["n"] for r in got)
-        return unpack(sum(np.frombuffer(r["w"]) for r in got) / n) if n else start
-
-    start = initial()
+    p = initial()
     for b in range(CLASSES):  # outputs start from the frequencies of the units
         part = units.count[b * MEMBERS : (b + 1) * MEMBERS]
-        start["bm"][b], start["bc"][b] = np.log(part + 1.0), np.log(part.sum() + 1.0)
-    warm = mean(rows.limit(1).mapInArrow(replica(start, WARM_RATE, 3, WARM_TOKENS), "w binary, n long"), start)
-    trained = written(rows.mapInArrow(replica(warm, RATE, 1, None), "w binary, n long"), "replicas")
-    return mean(trained.repartition(8).mapInArrow(added, "w binary, n long"), warm)
+        p["bm"][b], p["bc"][b] = np.log(part + 1.0), np.log(part.sum() + 1.0)
+    for k in range(len(ROUNDS)):
+        sums = written(rows.mapInArrow(replicas(p, k), "w binary, n long"), "replicas")
+        for width in (64, 8):
+            if sums.count() > width:
+                sums = written(sums.repartition(width).mapInArrow(added, "w binary, n long"), "replicas")
+        got = sums.collect()
+        if n := sum(r["n"] for r in got):
+            p = unpack(sum(np.frombuffer(r["w"]) for r in got) / n)
+    return p
 
 
 def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -477,12 +493,12 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
 
     Rows for which ``held`` is true or null teach nothing. A null text is empty and
     is one token, its end. Without training documents every count is 0. Rows that
-    repeat a key are documents of their own; other columns are left out. Words are
-    told apart by 64-bit hashes.
+    repeat a key are documents of their own; a key may have any type that can be ordered; other columns are left out. Words are
+    told apart by 64-bit hashes. Scores do not depend on the layout of the input, but for rounding and for rows that repeat key and text more often
+    than a chunk holds.
     """
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table_ = chunks(docs, key, text, F.coalesce(held, F.lit(True)))
+    table_, parts = chunks(docs, key, text, F.coalesce(held, F.lit(True)))
     found = counts(table_, parts)
     sums = found.filter(F.col("kind") == TOTAL).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     ends = table_.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
@@ -491,6 +507,11 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     units = Units(head, endings, sums["a"] or 0, sums["b"] or 0, ends)
     model = spark.sparkContext.broadcast((fit(table_, units), units))
     replies = found.filter(F.col("kind") == REPLY).groupBy("chunk").agg(F.collect_list(F.struct("part", "body")).alias("replies")).withColumnRenamed("chunk", "to")
+    of_key = table_.schema["ids"].dataType.elementType
+    schema = StructType().add("key", of_key)
+    for name, kind in (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
+        schema = schema.add(name, kind)
+    kinds = (to_arrow_type(of_key), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(batches):
         p, u = model.value
@@ -508,11 +529,10 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
             base[place], known[place] = u.base(c)[tokens], (c > 0)[tokens]
             at = np.cumsum(full) - full
             cols = (ids, held_, full, np.add.reduceat(known.astype(np.int64), at), np.full(len(ids), u.N), np.add.reduceat(base, at), np.round(np.add.reduceat(model_score, at), 4))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], schema.names)
 
     joined = table_.join(replies, F.col("chunk") == F.col("to"), "left").select("ids", "held", "sizes", "tokens", "words", "replies")
-    return joined.mapInArrow(run, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
