@@ -22,7 +22,7 @@ def docs(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rng = random.Random(2)
     odd = [(9001, None, "en", "src1", 0), (9002, "", None, None, 0), (9003, "123 !!", "en", "src1", 6), (9004, prose(rng, 200), "en", None, 1)]
-    return d.unionByName(spark.createDataFrame(odd, SCHEMA)).withColumns({c: F.lit("extra") for c in ("score", "target", "copies", "weighted", "node", "shard0")})
+    return d.unionByName(spark.createDataFrame(odd, SCHEMA)).withColumns({c: F.lit("extra") for c in ("score", "target", "copies", "weighted", "node", "shard0", "__id", "__scores", "a.b")})
 
 
 def ids(df):
@@ -43,6 +43,52 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, sf):
     assert ids(out) == sorted(set(want.values())) and out.columns == docs.columns
 
 
+def test_near_duplicate_stage_goes_by_rows(spark, sf):
+    """Ids that repeat with equal and other texts, rows that differ in other columns only, null ids and empty texts, against brute force."""
+    rng = random.Random(12)
+    base = [prose(rng, 80) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        t = base[i % 6].split()
+        t[rng.randrange(80)] = f"other{i}"
+        rows.append((rng.choice([None, 1, 2, 3, i, i]), " ".join(t) if i % 3 else base[i % 6], "en", f"src{i % 4}", i % 5))
+    rows += [rows[0], rows[1], rows[1], (7, None, "en", "a", 0), (7, None, "en", "b", 0), (8, "", "en", "a", 0), (5, base[0].upper(), "en", "a", 0), (5, base[1], "de", "x1", 1), (5, base[1], "de", "x2", 2)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("extra") for c in ("__id", "a.b", "first", "k", "p", "all")})
+    out = P.near_dedup(spark, d, sf)
+    assert out.columns == d.columns
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert not set(got) - set(rows)
+    groups = brute_components([(k, r[1]) for k, r in enumerate(rows)], 80, 100)
+    for root in set(groups.values()):
+        mine = [rows[k] for k, g in groups.items() if g == root]
+        left = [r for r in got if r in mine]
+        if (mine[0][1] or "").split():
+            assert len(left) == 1 and left[0][0] == min((r[0] for r in mine if r[0] is not None), default=None)
+        else:
+            assert len(left) == len(got) - len([r for r in got if r not in mine]) >= 1
+    empty = [r for r in rows if not (r[1] or "").split()]
+    assert sorted(map(str, [r for r in got if not (r[1] or "").split()])) == sorted(map(str, empty))
+    again = [tuple(r)[:5] for r in P.near_dedup(spark, d.repartition(7), sf).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_stages_on_repeats_nulls_and_clashes(spark, docs, sf, tmp_path):
+    """Every stage on rows that repeat, on rows of nulls, on no rows, and on columns of any name."""
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, "some words", None, None, None), (4, None, None, "src1", None)], SCHEMA)
+    d = docs.limit(80).unionByName(docs.filter("doc_id < 9")).unionByName(nulls, allowMissingColumns=True)
+    d.write.parquet(f"{tmp_path}/odd")
+    d = spark.read.schema(d.schema).parquet(f"{tmp_path}/odd")
+    n = d.count()
+    for name, stage in P.STAGES:
+        out = stage(spark, d, sf)
+        assert [c for c in out.columns if c != "shard"] == d.columns and {"__id", "__scores", "a.b"} <= set(out.columns), name
+        rows = out.collect()
+        assert len(rows) <= (3 * n if name == "mix" else n) and rows, name
+        if name == "shard":
+            assert len(rows) == n and all(r["shard"] is not None for r in rows)
+        assert stage(spark, d.limit(0), sf).count() == 0, name
+
+
 def test_decontamination_stage(spark, docs, sf):
     items = [r["text"].lower().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     items = [b for b in items if len(b) >= decontamination.LEAST_WORDS]

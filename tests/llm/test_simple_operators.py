@@ -1,7 +1,9 @@
 """Sharding, mixing, audio, archives, licences: SQL twins, round trips and edge cases."""
 
+import gzip
 import hashlib
 import io
+import json
 import textwrap
 import zipfile
 from pathlib import Path
@@ -231,6 +233,85 @@ def test_reads_only_ranges():
     assert sum(asked) < len(data) / 2
 
 
+def raw_records(n, size=20):
+    return [warc_zip.record(str(k), f"http://x/{k}", b"%d" % k * size, hashlib.sha1(b"%d" % k * size).hexdigest(), None) for k in range(n)]
+
+
+def zipped(*members):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return b.getvalue()
+
+
+def keys(data):
+    return [r["fields"]["warc-record-id"][12:-1] for r in warc_zip.records(warc_zip.ranges(data), len(data))]
+
+
+def test_gzipped_archives():
+    raw = raw_records(30)
+    each = [gzip.compress(r) for r in raw]
+    offsets = np.cumsum([0] + [len(x) for x in each])
+    line = lambda k: b"x 2024 " + json.dumps({"filename": "data.warc.gz", "offset": str(offsets[k]), "length": len(each[k])}).encode()
+    want = [str(k) for k in range(30)]
+    assert keys(zipped(("archive/data.warc.gz", b"".join(each)))) == want
+    # a whole index, one of every third record, a compressed one, and one stream for all records
+    assert keys(zipped(("archive/data.warc.gz", b"".join(each)), ("indexes/a.cdxj", b"\n".join(line(k) for k in range(30))))) == want
+    assert keys(zipped(("archive/data.warc.gz", b"".join(each)), ("indexes/a.cdxj", b"\n".join(line(k) for k in range(1, 30, 3))))) == want
+    assert keys(zipped(("archive/data.warc.gz", b"".join(each)), ("indexes/a.cdxj.gz", gzip.compress(b"!meta\n" + line(3))))) == want
+    assert keys(zipped(("archive/data.warc.gz", gzip.compress(b"".join(raw))))) == want
+    with pytest.raises(ValueError):
+        keys(zipped(("archive/data.warc.gz", b"".join(each)[:-30])))
+
+
+def test_partial_indexes_and_equal_names():
+    raw = raw_records(9)
+    at = np.cumsum([0] + [len(x) for x in raw])
+    line = lambda name, k: b"x 2024 " + json.dumps({"filename": name, "offset": int(at[k]), "length": len(raw[k])}).encode()
+    some = b"\n".join(line("data.warc", k) for k in (2, 3, 7))
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:record:info>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    assert keys(zipped(("archive/data.warc", b"".join(raw)), ("indexes/a.cdxj", some))) == [str(k) for k in range(9)]
+    assert keys(zipped(("archive/a/data.warc", info + b"".join(raw[:4])), ("archive/b/data.warc", b"".join(raw[4:])), ("indexes/a.cdxj", some))) == ["info", *[str(k) for k in range(9)]]
+    assert len(keys(zipped(("archive/a/data.warc", raw[0]), ("archive/b/data.warc", raw[1]), ("indexes/a.cdxj", line("a/data.warc", 0))))) == 2
+    for bad in (line("other.warc", 0), line("data.warc", 8).replace(b'"length": ', b'"length": 9')):
+        with pytest.raises(ValueError):
+            keys(zipped(("archive/data.warc", b"".join(raw)), ("indexes/a.cdxj", bad)))
+
+
+def test_checksums_of_members(spark):
+    data = bytearray(warc_zip.package([(str(k), None, r) for k, r in enumerate(raw_records(5))]))
+    read = lambda d: sorted((r["key"], r["digest_ok"], r["crc_ok"]) for r in warc_zip.read_packages(spark.createDataFrame([(bytearray(d),), (None,), (bytearray(),)], "content binary")).collect())
+    assert read(data) == [(str(k), True, True) for k in range(5)]
+    at = data.index(b"3" * 20)
+    data[at] ^= 1
+    assert read(data) == [(str(k), k != 3, False) for k in range(5)]
+
+
+def test_files_are_read_by_seeking(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "RANGE_BYTES", 20_000)
+    for f in range(3):
+        (tmp_path / f"a {f}.wacz").write_bytes(warc_zip.package([(f"{f}-{k}", None, warc_zip.record(f"{f}-{k}", None, b"x" * 5000, hashlib.sha1(b"x" * 5000).hexdigest(), None)) for k in range(40)]))
+    (tmp_path / "empty.wacz").write_bytes(b"")
+    got = warc_zip.read_files(spark, str(tmp_path / "*.wacz"))
+    assert sorted(r["key"] for r in got.collect()) == sorted(f"{f}-{k}" for f in range(3) for k in range(40))
+    assert got.rdd.getNumPartitions() >= 30 and got.filter("not digest_ok or crc_ok is not null").count() == 0
+    assert warc_zip.read_files(spark, str(tmp_path / "*.wacz"), check=True).filter("crc_ok").count() == 120
+    # directory and index are read, and then one record: a small part of the file
+    asked = []
+    with warc_zip.opened(str(tmp_path / "a 0.wacz")) as (read, size):
+        counted = lambda at, n: asked.append(n) or read(at, n)
+        found = list(warc_zip.located(counted, size))
+        assert len(found) == 40 and next(warc_zip.read_span(counted, found[17]))["payload"] == b"x" * 5000
+        assert sum(asked) < 6000 + 22 + 65535 + 5000 + 40 * 200 and size > 200_000
+
+
+def test_very_long_pages(spark):
+    rows = [(k, "u", "<p>long</p>" * (400_000 if k < 3 else k)) for k in range(6)]
+    back = warc_zip.read_packages(warc_zip.write_packages(warc_zip.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
+    assert sorted((int(r["key"]), r["record_type"], r["payload_bytes"]) for r in back) == sorted((k, "revisit" if k < 2 else "response", len(h)) for k, _, h in rows)
+
+
 def test_revisits(spark, monkeypatch):
     monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 3000)
     big, small = "b" * 1000, "s" * 999

@@ -1,31 +1,38 @@
 """ZIP-packaged web archives: directories, stored members, indexes, and records by ranges.
 
 A package is a ZIP file whose members are stored, not compressed: WARC files under
-``archive/`` and CDXJ indexes under ``indexes/``. The reader goes from the end of
+``archive/`` (.warc, or .warc.gz with a gzip member for each record) and CDXJ indexes under ``indexes/``. The reader goes from the end of
 the file to the (ZIP64) central directory, from there to the members, and reads
-single records by their offsets; nothing is extracted.
+single records by their offsets; nothing is extracted. What an index leaves out is found by going through the WARC file.
+Files are read by seeking in them, in ranges that are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import python_on_executors, checkpointed, join_by_frequency, table, utf8, written
+from tidemark.llm.common import BROADCAST_ROWS, checkpointed, join_by_frequency, python_on_executors, table, utf8, written
 
 #: Payloads below this many bytes are always stored in full.
 REVISIT_FROM = 1000
 #: Bytes of records after which a package is closed.
 PACKAGE_BYTES = 4 << 20
+#: Bytes of a file that one task reads, and of a step through it.
+RANGE_BYTES, STEP_BYTES = 64 << 20, 1 << 16
 #: A function (offset, length) -> bytes over one file: a slice, a range request, a seek and read.
 Ranges = Callable[[int, int], bytes]
 
@@ -161,37 +168,115 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "http": http, "payload": block}
 
 
-def spans(read: Ranges, size: int) -> Iterator[tuple[int, int]]:
-    """(offset, length) of every record: from the indexes, or by going through a WARC member that none names."""
+def intact(read: Ranges, m: Member) -> bool:
+    """Whether the bytes of a stored member have the checksum that the directory gives."""
+    at, end, crc = m.begins(read), 0, 0
+    end = at + m.size
+    while at < end:
+        n = min(1 << 20, end - at)
+        crc, at = zlib.crc32(read(at, n), crc), at + n
+    return crc == m.crc
+
+
+def step(read: Ranges, at: int, end: int, gzipped: bool) -> int:
+    """Length of the record, or of the gzip member, that begins at ``at``."""
+    if gzipped:
+        inflate, n = zlib.decompressobj(31), 0
+        while not inflate.eof:
+            raw = read(at + n, min(STEP_BYTES, end - at - n))
+            if not raw:
+                raise ValueError(f"a gzip member at {at} is cut short")
+            while raw and not inflate.eof:
+                inflate.decompress(raw, STEP_BYTES)  # only its end is wanted
+                n += len(raw) - len(inflate.unconsumed_tail) - len(inflate.unused_data)
+                raw = b"" if inflate.eof else inflate.unconsumed_tail
+        return n
+    head = b""
+    while b"\r\n\r\n" not in head:
+        more = read(at + len(head), min(2048, end - at - len(head)))
+        if not more:
+            raise ValueError(f"a record at {at} is cut short")
+        head += more
+    head = head[: head.index(b"\r\n\r\n") + 4]
+    size = [int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if not head.startswith(b"WARC/") or not size:
+        raise ValueError(f"no WARC record at {at}")
+    return len(head) + size[0] + 4
+
+
+@dataclass(frozen=True)
+class Span:
+    at: int
+    length: int
+    member: str
+    gzipped: bool
+
+
+def indexed(read: Ranges, members: list[Member], archives: dict[str, Member]) -> dict[str, dict[int, int]]:
+    """Offsets and lengths of records by archive, from the indexes. An entry whose file name fits no archive is an error; one that fits several says nothing."""
+    found: dict[str, dict[int, int]] = {k: {} for k in archives}
+    by_name: dict[str, list[str]] = {}
+    for k in archives:
+        for name in {k, k.removeprefix("archive/"), k.rpartition("/")[2]}:
+            by_name.setdefault(name, []).append(k)
+    for m in members:
+        if m.name.startswith("indexes/") and m.name.endswith((".cdxj", ".cdxj.gz", ".cdx.gz")):
+            raw = read(m.begins(read), m.size)
+            for line in (gzip.decompress(raw) if m.name.endswith(".gz") else raw).splitlines():
+                if b"{" not in line:
+                    continue
+                where = json.loads(line[line.index(b"{") :])
+                if "filename" not in where or "offset" not in where or "length" not in where:
+                    continue
+                name = where["filename"]
+                of = [name] if name in archives else by_name.get(name, [])
+                if not of:
+                    raise ValueError(f"{m.name} names {name}, which is not in the package")
+                if len(of) == 1:
+                    found[of[0]][int(where["offset"])] = int(where["length"])
+    return found
+
+
+def located(read: Ranges, size: int) -> Iterator[Span]:
+    """Where the records of all archives lie: from the indexes, and by going through what they leave out. Archives and indexes that are compressed as ZIP members are an error."""
     members = directory(read, size)
-    named, found = set(), []
-    warcs = {m.name.rpartition("/")[2]: m for m in members if m.name.startswith("archive/") and m.name.endswith(".warc")}
-    for m in [*warcs.values(), *(m for m in members if m.name.startswith("indexes/"))]:
-        if m.method:
-            raise ValueError(f"{m.name} is compressed; only stored members can be read by ranges")
-    starts = {k: m.begins(read) for k, m in warcs.items()}
+    archives = {m.name: m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))}
     for m in members:
-        if m.name.startswith("indexes/") and m.name.endswith(".cdxj"):
-            for line in read(m.begins(read), m.size).splitlines():
-                where = json.loads(line.split(b" ", 2)[2])
-                named.add(where["filename"])
-                found.append((starts[where["filename"]] + int(where["offset"]), int(where["length"])))
-    for k, m in warcs.items():
-        at, end = starts[k], starts[k] + m.size
-        while k not in named and at < end:
-            head = b""
-            while b"\r\n\r\n" not in head and at + len(head) < end:
-                head += read(at + len(head), min(2048, end - at - len(head)))
-            head = head[: head.index(b"\r\n\r\n") + 4]
-            size_ = next(int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            found.append((at, len(head) + size_ + 4))
-            at += len(head) + size_ + 4
-    yield from sorted(found)
+        if m.method and m.name.startswith(("archive/", "indexes/")) and m.size:
+            raise ValueError(f"{m.name} is compressed; only stored members can be read by ranges")
+    for k, known in indexed(read, members, archives).items():
+        m, gzipped = archives[k], k.endswith(".gz")
+        start = m.begins(read)
+        at, end = start, start + m.size
+        while at < end:
+            n = known.get(at - start) or step(read, at, end, gzipped)
+            if at + n > end:
+                raise ValueError(f"a record of {k} at {at - start} is cut short")
+            yield Span(at, n, k, gzipped)
+            at += n
+
+
+def spans(read: Ranges, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of every record, or of the gzip member that holds it."""
+    for s in located(read, size):
+        yield s.at, s.length
 
 
 def records(read: Ranges, size: int) -> Iterator[dict]:
-    for at, n in spans(read, size):
-        yield parse_record(read(at, n))
+    """The records of a package in the order of their archives; see ``parse_record``."""
+    for s in located(read, size):
+        yield from read_span(read, s)
+
+
+def read_span(read: Ranges, s: Span) -> Iterator[dict]:
+    """The records in a span: one, or all that a gzip member holds."""
+    raw = read(s.at, s.length)
+    raw = gzip.decompress(raw) if s.gzipped else raw
+    at, whole = 0, lambda at, n: raw[at : at + n]
+    while at < len(raw):
+        n = step(whole, at, len(raw), False) if s.gzipped else len(raw)
+        yield parse_record(raw[at : at + n])
+        at += n
 
 
 def ranges(data: bytes) -> Ranges:
@@ -199,6 +284,24 @@ def ranges(data: bytes) -> Ranges:
     return lambda at, n: bytes(view[at : at + n])
 
 
+@contextmanager
+def opened(uri: str) -> Iterator[tuple[Ranges, int]]:
+    """(ranges, size) of a file in a store that Arrow opens (local, S3, GCS, ABFS, HDFS): every range is a seek and a read."""
+    if uri.startswith("file:"):
+        store, path = fs.LocalFileSystem(), "/" + unquote(uri[5:]).lstrip("/")
+    elif "://" in uri:
+        store, path = fs.FileSystem.from_uri(uri)
+    else:
+        store, path = fs.LocalFileSystem(), uri
+    with store.open_input_file(path) as f:
+
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
+
+        yield read, f.size()
+
+
 # --- operators -----------------------------------------------------------
 
 
@@ -206,13 +309,16 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
     """(key, url, payload, digest, refers_to): among equal payloads of at least REVISIT_FROM bytes the largest key is stored, the others refer to it.
 
     A null body is an empty payload; rows that repeat a key are records of their own, and those of the largest key are responses.
-    A null key never is referred to. A payload that holds a large part of all pages is joined by broadcast.
+    A null key never is referred to. Digests that repeat are broadcast while they are few; beyond that pages are shuffled by digest, but for payloads that hold a large part of all pages.
     """
     payload = utf8(F.col(f"`{body}`"))
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.filter(F.octet_length("payload") >= REVISIT_FROM)
     stats = checkpointed(large.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("stored")).filter("n > 1"))
-    linked = join_by_frequency(rows, stats, "digest", "n", pages.count())
+    if stats.count() <= BROADCAST_ROWS:
+        linked = rows.join(F.broadcast(stats.select(F.col("digest").alias("of"), "stored")), F.col("digest") == F.col("of"), "left")
+    else:
+        linked = join_by_frequency(rows, stats, "digest", "n", pages.count())
     return linked.select("key", "url", "payload", "digest", F.when(F.coalesce(F.col("key") != F.col("stored"), F.col("stored").isNotNull()), F.col("stored")).alias("refers_to"))
 
 
@@ -237,43 +343,101 @@ def write_packages(planned: DataFrame, label: str = "warc") -> DataFrame:
 
 
 def package_files(spark: SparkSession, path: str) -> DataFrame:
-    """Packages that lie as files (.wacz, .zip) in any store that Spark reads."""
+    """Packages (.wacz, .zip) of up to 2 GB as values, in any store that Spark reads; see ``read_files`` for larger ones."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-READ = "key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, digest_ok boolean"
+READ = "key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, digest_ok boolean, crc_ok boolean"
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+_NAMES = [x.split()[0] for x in READ.split(", ")]
+
+
+def _row(r: dict, crc_ok: bool | None) -> tuple:
+    f = r["fields"]
+    bare = lambda name: f[name].removeprefix("<urn:record:").removesuffix(">") if name in f else None
+    algorithm, _, given = f.get("warc-payload-digest", "").partition(":")
+    stored = None
+    if algorithm == "sha1":
+        stored = given.lower() if len(given) == 40 else base64.b32decode(given + "=" * (-len(given) % 8)).hex()
+    head = (bare("warc-record-id"), f.get("warc-target-uri"), f.get("warc-type"))
+    if f.get("warc-type") == "revisit":
+        return *head, int(r["http"]["content-length"]) if "content-length" in r["http"] else None, stored, bare("warc-refers-to"), None, crc_ok
+    got = hashlib.sha1(r["payload"]).hexdigest()
+    return *head, len(r["payload"]), got, None, None if stored is None else got == stored, crc_ok
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), _KINDS)], _NAMES)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), _KINDS)], _NAMES)
 
 
 def read_packages(packages: DataFrame, content: str = "content") -> DataFrame:
     """One row per record of the packages, each read by its range.
 
-    The digest of a response is computed from the payload that was read, digest_ok
-    says that the header agrees; a revisit has digest and size of its headers (digest_ok null).
+    The digest of a record is computed from the payload that was read, digest_ok
+    says that the header agrees (null: it gives no SHA-1); a revisit has digest and size of its headers (digest_ok null). crc_ok says that
+    the archive has the checksum of the ZIP directory. Null and empty packages have no records; damaged ones are an error.
     """
     python_on_executors(packages.sparkSession)
-    prefix = "<urn:record:"
 
     def rows(data: bytes) -> Iterator[tuple]:
-        for r in records(ranges(data), len(data)):
-            f = r["fields"]
-            stored = base64.b32decode(f["warc-payload-digest"].partition(":")[2]).hex()
-            bare = lambda name, f=f: f[name].removeprefix(prefix).removesuffix(">") if name in f else None
-            if f["warc-type"] == "revisit":
-                yield bare("warc-record-id"), f["warc-target-uri"], "revisit", int(r["http"]["content-length"]), stored, bare("warc-refers-to"), None
-            else:
-                got = hashlib.sha1(r["payload"]).hexdigest()
-                yield bare("warc-record-id"), f["warc-target-uri"], "response", len(r["payload"]), got, None, got == stored
+        read, good = ranges(data), {}
+        for s in located(read, len(data)):
+            if s.member not in good:
+                good[s.member] = next(intact(read, m) for m in directory(read, len(data)) if m.name == s.member)
+            for r in read_span(read, s):
+                yield _row(r, good[s.member])
 
     def run(batches):
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        names = [x.split()[0] for x in READ.split(", ")]
         for b in batches:
             for data in b.column(0):
-                found = list(rows(data.as_py() or b""))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+                yield from _batches(rows(data.as_py() or b""))
 
-    return packages.select(content).mapInArrow(run, READ)
+    return packages.select(F.col(f"`{content}`")).mapInArrow(run, READ)
+
+
+def read_files(spark: SparkSession, path: str, check: bool = False) -> DataFrame:
+    """The records of packages that lie as files of any size (a path or pattern), with the columns of ``read_packages`` after the file's path.
+
+    Spark lists the files. One task a file reads its directory and indexes; the records then are dealt in ranges of RANGE_BYTES,
+    and read by seeking. Only with ``check`` are whole archives read for their checksums; else crc_ok is null.
+    """
+    python_on_executors(spark)
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def find(batches):
+        names = ["path", "at", "length", "member", "gzipped", "crc_ok"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                with opened(uri) as (read, size):
+                    good = {m.name: intact(read, m) for m in directory(read, size) if m.name.startswith("archive/")} if check else {}
+                    found = [(uri, s.at, s.length, s.member, s.gzipped, good.get(s.member)) for s in located(read, size)]
+                for k in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[k : k + 10_000]), kinds)], names)
+
+    def fetch(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            for uri in dict.fromkeys(r["path"] for r in rows):
+                with opened(uri) as (read, _):
+                    out = [(uri, *_row(r, x["crc_ok"])) for x in rows if x["path"] == uri for r in read_span(read, Span(x["at"], x["length"], x["member"], x["gzipped"]))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.string(), *_KINDS])], ["path", *_NAMES])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = files.repartition(parts).mapInArrow(find, "path string, at long, length long, member string, gzipped boolean, crc_ok boolean")
+    found = checkpointed(each)
+    bytes_ = found.agg(F.sum("length")).first()[0] or 0
+    block = F.floor(F.col("at") / RANGE_BYTES)
+    dealt = found.repartition(max(parts, -(-bytes_ // RANGE_BYTES)), "path", block).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(fetch, f"path string, {READ}")
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
