@@ -414,9 +414,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [2 << 20, 700])
-def test_repeats_against_brute_force(spark, monkeypatch, size):
+@pytest.mark.parametrize("size, hot", [(2 << 20, 64), (700, 64), (700, 1)])
+def test_repeats_against_brute_force(spark, monkeypatch, size, hot):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", size)
+    monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BLOCK", 256)
     rng = random.Random(6)
     shared = [prose(rng, n, 5000) for n in (18, 25, 40, 90, 300)]
@@ -434,6 +435,26 @@ def test_repeats_against_brute_force(spark, monkeypatch, size):
     assert got == brute_repeats(rows)
 
 
+def test_a_passage_in_very_many_surroundings(spark, monkeypatch):
+    """Strings of 40, 90 and 140 bytes that hundreds of documents share, each among other words: no bucket is refined whole."""
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
+    rng = random.Random(11)
+    shared = [prose(rng, 100, 5000)[:n] for n in (40, 90, 140)]
+    rows = [(i, prose(rng, 12, 5000) + shared[i % 3] + prose(rng, 12, 5000)) for i in range(400)]
+    got = sorted((tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, DOC).repartition(3)).collect()))
+    assert got == brute_repeats(rows)
+
+
+def test_very_long_texts_and_order_of_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 50_000)
+    rng = random.Random(13)
+    text, other = prose(rng, 60_000, 5000), prose(rng, 200, 5000)
+    rows = [(1, text), (2, text[5000:] + other), (3, other + "x"), (3, "y" + other), (3, other[:400])]
+    runs = [sorted(tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, DOC).repartition(n)).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    assert [r[2] for r in runs[0]][:2] == [r[2] for r in brute_repeats(rows[:2])]
+
+
 def test_repeated_keys_keep_one_copy(spark):
     t = prose(random.Random(1), 100, 5000)
     got = repeats.remove_repeats(spark.createDataFrame([(1, t), (1, t), (2, t)], DOC).repartition(3)).collect()

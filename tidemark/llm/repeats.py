@@ -9,15 +9,17 @@ anchor, which the window's content decides, so equal windows have equal anchors
 equal distances. Buckets then are refined from coarse to fine:
 
 1. initial buckets: anchors of equal Q-grams;
-2. refined by the bucket identifiers of the Q-grams at later offsets, out to the end of
+2. refined by the bucket identifiers (hashes, folded into one) of the Q-grams at later offsets, out to the end of
    all windows that the anchor serves. Only the first anchor of such a class can
    hold first occurrences: the windows of the others go;
 3. first anchors of initial buckets that split in step 2 are refined window by window:
    q-gram buckets are sorted on pairs (own bucket, bucket at the offset where it
    ends), which doubles the length each time and reuses the buckets just found, until LENGTH.
+   Of a bucket that splits into more than HOT classes each chunk doubles the lengths by itself, up to the identifier of
+   a whole window, and sends these; so windows of one bucket are compared in as many tasks as there are.
 
 Every chunk first drops what repeats within itself, so that a string which
-many documents share is sent once a chunk. Equality is that of 64-bit hashes.
+many documents share is sent once a chunk. Equality is that of 64-bit hashes: bytes are compared nowhere.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,10 @@ GRAMS = LENGTH - Q + 1  # Q-grams in a window
 #: Initial grams of step 3; twice 25 is 50, twice 50 is LENGTH.
 FINE = 25
 CHUNK_BYTES = 2 << 20
+#: Classes of an initial bucket that are refined together; windows of buckets with more are compared by their own identifiers.
+HOT = 64
+#: Bytes of texts for each part of an exchange, at most; more text makes more parts.
+PART_BYTES = 64 << 20
 #: Windows whose anchors are found together; a packed (hash, position) has the position in the low bits.
 BLOCK = 1 << 16
 PLACES = np.uint64((1 << 18) - 1)
@@ -153,9 +160,10 @@ def refine(context: np.ndarray, used: np.ndarray, col: np.ndarray, row: np.ndarr
 
 # --- messages ------------------------------------------------------------
 
-ENTRY = np.dtype([("bucket", "<u8"), ("cls", "<u8"), ("order", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
-CONTEXT = np.dtype([("bucket", "<u8"), ("order", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("lo", "<i4"), ("before", "u1"), ("windows", "u1")])
-KEEP, GOES, SPLIT = 0, 1, 2
+ENTRY = np.dtype([("bucket", "<u8"), ("cls", "<u8"), ("order", "<i8"), ("tag", "<u8"), ("pos", "<u4")])
+SINGLE = np.dtype([("bucket", "<u8"), ("order", "<i8"), ("tag", "<u8"), ("pos", "<u4"), ("lo", "<i4")])
+CONTEXT = np.dtype([("bucket", "<u8"), ("order", "<i8"), ("tag", "<u8"), ("pos", "<u4"), ("lo", "<i4"), ("before", "u1"), ("windows", "u1")])
+KEEP, GOES, SPLIT, CROWDED = 0, 1, 2, 3
 
 
 @lru_cache(maxsize=2)
@@ -166,14 +174,15 @@ def _zstd():
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(chunk, ids, sizes, tags, blob): texts of about CHUNK_BYTES together, in the order of their keys; written to the shared folder.
 
-    A null key comes last. Tags tell rows apart that repeat a key.
+    A null key comes last. Tags put rows in order that repeat a key: by a hash of the text, and rows equal in that at random, as any of them may stand for the others.
     """
     python_on_executors(docs.sparkSession)
 
     def close(rows):
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
         name = uuid.uuid4().int >> 65
-        tags = [hash((name, k)) & 0xFFFFFFFF for k in range(len(rows))]
+        low = np.random.default_rng(name).integers(0, 1 << 32, len(rows)).tolist()
+        tags = [xxhash.xxh32_intdigest(r[1]) >> 1 << 32 | x for r, x in zip(rows, low)]
         blob = _zstd()[0].compress(b"".join(r[1] for r in rows))
         cols = [pa.array([name], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in rows]], pa.list_(pa.int64())), pa.array([tags], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "sizes", "tags", "blob"])
@@ -198,7 +207,7 @@ class Chunk:
     def __init__(self, ids, sizes, tags, blob: bytes):
         self.ids, self.sizes = ids, np.array(sizes, np.int64)
         self.order = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)
-        self.tags = np.array(tags, np.int64).astype(np.uint32)
+        self.tags = np.array(tags, np.int64).astype(np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         self.x = np.frombuffer(_zstd()[1].decompress(blob, max_output_size=max(1, int(self.sizes.sum()))), np.uint8)
 
@@ -227,8 +236,8 @@ def entries(c: Chunk, a: Anchors, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(e: np.ndarray) -> np.ndarray:
-    """For each anchor: its windows go (its class came earlier), it is the first of its class, or that and its bucket has other classes."""
+def judge(e: np.ndarray, hot: int) -> np.ndarray:
+    """For each anchor: its windows go (its class came earlier), it is the first of its class, or that and its bucket has other classes, or more than ``hot``."""
     order = np.lexsort((e["pos"], e["tag"], e["order"], e["cls"], e["bucket"]))
     b, c = e["bucket"][order], e["cls"][order]
     first = np.ones(len(e), bool)
@@ -238,7 +247,7 @@ def judge(e: np.ndarray) -> np.ndarray:
     group = np.cumsum(start) - 1
     classes = np.bincount(group, weights=first, minlength=group[-1] + 1 if len(group) else 0)
     out = np.zeros(len(e), np.uint8)
-    out[order] = np.where(~first, GOES, np.where(classes[group] > 1, SPLIT, KEEP))
+    out[order] = np.where(~first, GOES, np.where(classes[group] > hot, CROWDED, np.where(classes[group] > 1, SPLIT, KEEP)))
     return out
 
 
@@ -251,6 +260,25 @@ def contexts(c: Chunk, a: Anchors, which: np.ndarray) -> tuple[np.ndarray, list[
     return out, [raw[lo : hi + LENGTH] for lo, hi in zip(a.lo[which].tolist(), a.hi[which].tolist())]
 
 
+def singles(c: Chunk, a: Anchors, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of these anchors by identifier, the first of each, in order; and where the others begin, which repeat within the chunk."""
+    h, n = T[c.x], 1
+    while 2 * n <= LENGTH:  # strings of 64 bytes; two of them cover a window
+        new = h[:-n] * power(n)
+        new += h[n:]
+        h, n = new, 2 * n
+    count = a.hi[which] - a.lo[which] + 1
+    lo = np.repeat(a.lo[which], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    d = c.doc_of(lo)
+    out = np.zeros(len(lo), SINGLE)
+    out["bucket"] = mix(mix(h[lo]) * np.uint64(M) + h[lo + LENGTH - n])
+    out["order"], out["tag"], out["pos"], out["lo"] = c.order[d], c.tags[d], lo - c.starts[d], lo
+    out = out[np.lexsort((out["pos"], out["tag"], out["order"], out["bucket"]))]
+    new = np.ones(len(out), bool)
+    new[1:] = out["bucket"][1:] != out["bucket"][:-1]
+    return out[new], out["lo"][~new].astype(np.int64)
+
+
 def window_firsts(head: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     """(index of context, window) pairs of windows that start earlier elsewhere. Contexts of other buckets never match."""
     order = np.lexsort((head["pos"], head["tag"], head["order"]))
@@ -307,11 +335,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row.
 
     Null texts are empty; texts under LENGTH bytes lose nothing. Rows that repeat a key
-    are documents of their own, in an order that is fixed within a run. Other columns are left out.
+    are documents of their own, in the order of a hash of their texts. Keys are whole numbers. Other columns are left out.
     """
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table_ = chunks(docs, key, text)
+    total = table_.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
     def send(batches):
         for chunk, *rest in _rows(batches):
@@ -327,7 +356,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rows = list(_rows(batches))
         if rows:
             got = [np.frombuffer(r[2], ENTRY) for r in rows]
-            said = judge(np.concatenate(got))
+            said = judge(np.concatenate(got), HOT)
             ends = np.cumsum([len(g) for g in got])
             out = [(r[0], r[1], _zstd()[0].compress(said[n - len(g) : n].tobytes())) for r, g, n in zip(rows, got, ends)]
             for k in range(0, len(out), 1000):
@@ -348,7 +377,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 said[s] = np.frombuffer(_zstd()[1].decompress(got[part], max_output_size=s.stop - s.start), np.uint8)
             goes = ~first
             goes[which[said == GOES]] = True
-            rows = [(chunk, -1, merged(a.lo[goes], a.hi[goes]).tobytes())]
+            own, again = singles(c, a, which[said == CROWDED])
+            rows = [(chunk, -1, merged(np.concatenate([a.lo[goes], again]), np.concatenate([a.hi[goes], again])).tobytes())]
+            rows += [(chunk, parts + part, own[s].tobytes()) for part, s in c.sliced(own["bucket"], parts)]
             split = which[said == SPLIT]
             head, bodies = contexts(c, a, split)
             for part, s in c.sliced(head["bucket"], parts):
@@ -356,8 +387,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 rows.append((chunk, part, n.to_bytes(4, "little") + head[s].tobytes() + b"".join(bodies[s])))
             yield _batch(rows)
 
+    def crowded(rows):
+        if not rows:
+            return
+        got = [np.frombuffer(r[2], SINGLE) for r in rows]
+        e, owner = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
+        order = np.lexsort((e["pos"], e["tag"], e["order"], e["bucket"]))
+        b = e["bucket"][order]
+        later = order[1:][b[1:] == b[:-1]]
+        for k in np.unique(owner[later]):
+            lo = e["lo"][later[owner[later] == k]].astype(np.int64)
+            yield _batch([(rows[k][0], -1, merged(lo, lo).tobytes())])
+
     def second(batches):
         rows = list(_rows(batches))
+        yield from crowded([r for r in rows if r[1] >= parts])
+        rows = [r for r in rows if r[1] < parts]
         heads, bodies, owner = [], [], []
         for k, (_, _, raw) in enumerate(rows):
             n = int.from_bytes(raw[:4], "little")
