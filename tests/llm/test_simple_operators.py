@@ -6,6 +6,7 @@ import io
 import json
 import textwrap
 import zipfile
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -181,6 +182,57 @@ def test_other_layers_and_tables():
     assert mpeg_audio.probe(b"").duration == 0 and mpeg_audio.probe(b"no audio").skipped == 8
 
 
+def test_junk_is_no_audio():
+    rng = np.random.default_rng(1)
+    junk = bytearray(rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes())
+    for k in range(0, 20_000, 40):  # headers of all layers and rates, whose frames lead nowhere
+        junk[k : k + 4] = bytes((0xFF, int(rng.choice([0xFB, 0xFD, 0xFF, 0xF3])), int(rng.integers(16, 224)), int(rng.integers(0, 256))))
+    assert sum(map(len, mpeg_audio.probe(bytes(junk)).offsets)) == 0
+    good = mpeg_audio.encode(b"z" * 5000)[:-128]
+    s = mpeg_audio.probe(good + bytes(junk))
+    assert sum(map(len, s.offsets)) == 14 and s.duration == 384 * 14 and s.skipped == 20_000
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\0")
+    other = mpeg_audio.probe(good + frame * 3)  # a stream of another kind behind the first
+    assert sum(map(len, other.offsets)) == 17 and dict(other.layers) == {1: 14, 3: 3}
+
+
+def test_tags_of_all_kinds():
+    text = lambda size: b"TIT2" + size(4) + b"\0\0" + b"\x03a\xffb"
+    plain = lambda n: bytes((0, 0, n >> 7, n & 127))
+    tag = lambda version, flags, body, footer=b"": b"ID3" + bytes((version, 0, flags)) + plain(len(body)) + body + footer
+    frame = text(plain)
+    for data, n in (
+        (tag(3, 0, frame), 0),
+        (tag(3, 0x80, frame.replace(b"\xff", b"\xff\x00")), 0),
+        (tag(3, 0x40, b"\0\0\0\x06" + bytes(6) + frame), 0),
+        (tag(4, 0x40, b"\0\0\0\x06\x01\x00" + frame), 0),
+        (tag(4, 0x10, frame, b"3DI" + bytes(7)), 0),
+    ):
+        tags, end = mpeg_audio.id3v2(data + b"audio")
+        assert end == len(data) and tags["TIT2"].startswith("a") and tags["TIT2"].endswith("b")
+
+
+def test_encoder_delay_is_no_duration():
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    info = (head + bytes(32) + b"Info" + (1).to_bytes(4, "big") + (5).to_bytes(4, "big") + lame).ljust(417, b"\0")
+    s = mpeg_audio.probe(info + head.ljust(417, b"\0") * 5)
+    assert s.vbr["frames"] == 5 and s.duration == 5 * 1152 - 576 - 1000
+
+
+def test_audio_of_all_documents(spark, sf):
+    """Every value that the query returns, against plain Python."""
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in mpeg_audio.op1_mpeg_audio(spark, sf).collect():
+        data = text.pop(r["doc_id"])
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        media = mpeg_audio.encode(data)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["duration_samples"], r["crc_errors"]) == (len(media), hashlib.sha256(media).hexdigest(), -(-len(payload) // 384) * 384, 0)
+        assert all(mpeg_audio.header(media[at : at + 4]) for at in r["seek_offsets"]) and len(r["seek_offsets"]) == r["n_frames"] == -(-len(payload) // 384)
+    assert not text
+
+
 def test_audio_columns(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "abc"), (3, "abc"), (None, "z" * 300_000)], "doc_id long, text string")
     r = mpeg_audio.probe_column(mpeg_audio.encode_column(d)).collect()

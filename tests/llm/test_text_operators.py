@@ -46,6 +46,41 @@ def test_languages_of_odd_texts(spark):
     assert none["lang_pred"] == "und"
 
 
+def test_letters_are_those_of_unicode():
+    assert not any(language_id.has_letter(x.encode()) for x in ("", "½", "²", "①", "Ⅷ1", "_ 12", "一"[:0], "👍", "٣"))
+    assert all(language_id.has_letter(x.encode()) for x in ("a", "½é", "ª", "一", "1 ж", "ǅ", "ʰ"))
+
+
+def test_predictions_against_brute_force(spark, sf):
+    """Features by a dictionary of n-grams, margins by sums, and the codeword of least weighted loss, in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.filter(language_id.remainder("doc_id", 4) != 2))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for id_, text in sorted(rows, key=lambda r: (len(r[1] or ""), r[0]))[:60]:
+        if not text or not any(c.isalpha() for c in text):
+            assert got[id_] == ("und", 0.0)
+            continue
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or "a" <= c <= "z" else " " for c in text)
+        b = (" " + " ".join(folded.split(" ")) + " ").encode()
+        while b"  " in b:
+            b = b.replace(b"  ", b" ")
+        n = Counter()
+        for k in range(len(b) - 1):
+            two = b[k] * 257 + b[k + 1]
+            n[two * 2654435761 % 2**32 >> 20] += 1
+            if k + 2 < len(b):
+                n[(two * 263 + b[k + 2]) * 2246822519 % 2**32 >> 20] += 1
+        norm = math.sqrt(sum(n.values()))
+        loss = []
+        margins = [4 * (sum(math.sqrt(v) / norm * float(model["w"][h, j]) for h, v in n.items()) + float(model["b"][j])) for j in range(model["code"].shape[1])]
+        for word in model["code"]:
+            loss.append(sum(float(t) * math.log1p(math.exp(-m * float(c))) for m, c, t in zip(margins, word, model["trust"])))
+        p = [math.exp(-x * len(margins)) for x in loss]
+        best = max(range(len(p)), key=lambda k: (p[k], -k))
+        assert got[id_][0] == model["langs"][best] and got[id_][1] == pytest.approx(p[best] / sum(p), abs=1e-3)
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 7, 12, 30):
         c = language_id.codewords(n)

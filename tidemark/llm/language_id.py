@@ -16,17 +16,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import python_on_executors, table, utf8
 
-#: The bound of the sample that is fitted: documents of all languages together.
-FIT_DOCS = 2048
+#: The bound of the sample that is fitted: documents of all languages together, or LEAST_DOCS of each where there are very many languages.
+FIT_DOCS, LEAST_DOCS = 2048, 16
 DIMS = 4096
 #: Two codewords closer than this (in probability) leave the language open.
 TIE = 0.02
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: A-Z to a-z, digits and ASCII punctuation to space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def has_letter(body: bytes) -> bool:
+    """Whether a text has a character of one of the Unicode categories of letters (numbers such as a half sign are none)."""
+    if ASCII_LETTER.search(body):
+        return True
+    return not body.isascii() and any(map(str.isalpha, body.decode("utf-8", "replace")))
+
+
 def codewords(n: int) -> np.ndarray:
     """An n by bits matrix of +1 and -1: for up to 7 languages every split in two, beyond that random splits far apart."""
     if n == 1:
@@ -99,7 +106,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     langs = sorted(counts)
     if not langs:
         return None
-    quota = max(2, fit_docs // len(langs))
+    quota = max(LEAST_DOCS, fit_docs // len(langs))
     share = F.create_map(*[F.lit(v) for k in langs for v in (k, int(min(1.0, quota / counts[k]) * 2**32))])
     picked = rows.filter(F.pmod(F.xxhash64("k"), F.lit(2**32)) <= share[F.col("lang")]).select("k", "lang", "body")
 
@@ -133,7 +140,7 @@ def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str =
         m = shared.value
         for b in batches:
             bodies = b.column(len(cols)).to_pylist()
-            seen = [bool(m and x and LETTER.search(x.decode("utf-8", "replace") if len(x) < 200 or not x[:200].isascii() else x[:200].decode() + ("" if LETTER.search(x[:200].decode()) else x[200:].decode("utf-8", "replace")))) for x in bodies]
+            seen = [bool(m and x and has_letter(x)) for x in bodies]
             at = np.flatnonzero(seen)
             pred, score, open_ = [UNKNOWN] * len(bodies), np.zeros(len(bodies)), np.zeros(len(bodies), bool)
             for part in np.array_split(at, max(1, len(at) // 250)):
@@ -152,7 +159,8 @@ def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str =
 
 
 def remainder(key: str, n: int):
-    return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % n
+    """CRC-32 of the key as text (null: of no bytes) modulo n."""
+    return F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

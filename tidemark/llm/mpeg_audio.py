@@ -59,6 +59,11 @@ class Header:
     def samples(self) -> int:
         return SAMPLES[(1 if self.version == 1 else 2, self.layer)]
 
+    @property
+    def kind(self) -> tuple:
+        """What all frames of a stream share."""
+        return self.version, self.layer, self.rate, self.protected, self.mono
+
     @property
     def side_info(self) -> int:
         """Layer III: bytes between header (and checksum) and the main data."""
@@ -180,15 +185,23 @@ class Stream:
 
 
 def id3v2(data: bytes) -> tuple[dict, int]:
-    """Text frames of an ID3v2.3 or 2.4 tag at the start, and where the tag ends."""
+    """Text frames of an ID3v2.3 or 2.4 tag at the start, and where the tag ends: unsynchronised or not, with an extended header or not, with a footer or not."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    n = (data[6] & 127) << 21 | (data[7] & 127) << 14 | (data[8] & 127) << 7 | data[9] & 127
-    end, at, tags = min(len(data), 10 + n), 10, {}
-    while at + 10 <= end and data[at : at + 4].strip(b"\x00"):
-        raw = data[at + 4 : at + 8]
-        size = int.from_bytes(raw, "big") if data[3] < 4 else (raw[0] & 127) << 21 | (raw[1] & 127) << 14 | (raw[2] & 127) << 7 | raw[3] & 127
-        name, text = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
+    plain = lambda raw: (raw[0] & 127) << 21 | (raw[1] & 127) << 14 | (raw[2] & 127) << 7 | raw[3] & 127
+    version, flags = data[3], data[5]
+    end = min(len(data), 10 + plain(data[6:10]))
+    body, at, tags = data[10:end], 0, {}
+    if version == 4 and flags & 0x10:
+        end = min(len(data), end + 10)
+    if flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if flags & 0x40 and len(body) >= 4:
+        at = plain(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + 10 <= len(body) and body[at : at + 4].strip(b"\x00"):
+        raw = body[at + 4 : at + 8]
+        size = int.from_bytes(raw, "big") if version < 4 else plain(raw)
+        name, text = body[at : at + 4].decode("latin-1"), body[at + 10 : at + 10 + size]
         if name[0] == "T" and text:
             coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(text[0], "latin-1")
             key, _, value = text[1:].decode(coding, "replace").rstrip("\x00").partition("\x00")
@@ -207,6 +220,9 @@ def vbr_table(frame: bytes, h: Header) -> dict:
             if flags & bit and at + n <= len(frame):
                 out[name] = frame[at : at + n] if name == "toc" else int.from_bytes(frame[at : at + n], "big")
                 at += n
+        if frame[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and at + 24 <= len(frame):  # samples that the encoder put before and behind
+            ends = int.from_bytes(frame[at + 21 : at + 24], "big")
+            out |= {"delay": ends >> 12, "padding": ends & 0xFFF}
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
@@ -227,7 +243,11 @@ def _samples(run: np.ndarray, h: Header) -> np.ndarray | None:
 
 
 def probe(data: bytes) -> Stream:
-    """Read a stream. Bytes that are no frame are skipped up to the next header that another header (or the end) follows where its frame ends."""
+    """Read a stream. A frame that follows another has its version, layer, rate, protection and number of channels. Bytes that are no such frame are skipped up to the
+    next header from which the next frames follow where each ends: one more of the stream's kind, or two more of another, or the end.
+
+    The duration leaves out the samples that the encoder says it added. Free-format frames are skipped, as their length is not in the header.
+    """
     s = Stream()
     s.tags, at = id3v2(data)
     end = len(data)
@@ -236,20 +256,34 @@ def probe(data: bytes) -> Stream:
         s.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
     arr, first = np.frombuffer(data, np.uint8), True
 
-    def fits(h: Header | None, at: int) -> bool:
-        return bool(h and h.length and at + h.length <= end and (at + h.length == end or header(data[at + h.length : at + h.length + 4])))
+    def follows(at: int, like: Header | None, frames: int) -> bool:
+        """Whether so many frames (or as many as there are up to the end) of one kind begin here."""
+        for _ in range(frames):
+            h = header(data[at : at + 4])
+            if not (h and h.length and at + h.length <= end and (like is None or h.kind == like.kind)):
+                return False
+            at, like = at + h.length, h
+            if at == end:
+                break
+        return True
+
+    stream: Header | None = None  # of the last frame, while in step
+    last: Header | None = None
+
+    def begins(at: int) -> bool:
+        return bool(last and follows(at, last, 2)) or follows(at, None, 3)
 
     while at < end:
-        h = header(data[at : at + 4])
-        if not fits(h, at):
-            start, at = at, at + 1
-            while 0 <= (at := data.find(b"\xff", at, end)) and not fits(header(data[at : at + 4]), at):
+        if not (stream and follows(at, stream, 1) or begins(at)):
+            start, stream, at = at, None, at + 1
+            while 0 <= (at := data.find(b"\xff", at, end)) and not begins(at):
                 at += 1
             if at < 0:
                 at = end
             s.resyncs += 1
             s.skipped += at - start
             continue
+        h = stream = last = header(data[at : at + 4])
         n = h.length
         if first:
             first = False
@@ -270,6 +304,7 @@ def probe(data: bytes) -> Stream:
         s.duration += h.samples * len(run)
         s.rate = s.rate or h.rate
         at += n * len(run)
+    s.duration = max(0, s.duration - s.vbr.get("delay", 0) - s.vbr.get("padding", 0))
     return s
 
 
@@ -312,7 +347,7 @@ def probe_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
 
     The duration is exact: duration_samples over sample_rate seconds; seek_offsets has
     the byte at which each frame begins. A null or foreign stream has payload_bytes 0
-    and the frames that it has. n_bytes is that of the tag, else the payload's.
+    and the frames that it has. n_bytes is that of the tag if it fits the payload, else the payload's.
     """
     python_on_executors(df.sparkSession)
     spark = df.sparkSession
@@ -330,7 +365,8 @@ def probe_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
                 at = np.concatenate(s.offsets) if s.offsets else np.zeros(0, np.int64)
                 offsets.append(at)
                 size = s.tags.get("TXXX:payload_bytes", "")
-                rows.append((int(size) if size.isdigit() else len(payload), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), len(at), s.duration, s.rate, s.crc_errors, s.resyncs))
+                n = int(size) if size.isdigit() and len(size) < 16 else -1
+                rows.append((n if n >= 0 and max(UNIT, -(-n // UNIT) * UNIT) == len(payload) else len(payload), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), len(at), s.duration, s.rate, s.crc_errors, s.resyncs))
             cols = list(zip(*rows)) or [()] * 12
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in offsets])]).astype(np.int32)
