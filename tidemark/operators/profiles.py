@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from tidemark.functions.exprs import SECOND, clip_lo, entropy_bits, nz
 
@@ -32,23 +33,36 @@ def basic(df: DataFrame, as_of: Column | None = None, risky: tuple[int, ...] = (
     night = F.col("hour") < 6 if night is None else night
     n, span = F.count("*"), (F.max("us") - F.min("us")) / SECOND
     return d.groupBy(KEY).agg(
-        F.avg("amt").alias("cust_avg_amt"), nz(F.stddev("amt"), 0.0).alias("cust_std_amt"), F.median("amt").alias("cust_med_amt"), F.max("amt").alias("cust_max_amt"), F.percentile("amt", F.lit(0.95)).alias("cust_p95_amt"),
+        F.avg("amt").alias("cust_avg_amt"), nz(F.stddev("amt"), 0.0).alias("cust_std_amt"), F.percentile("amt", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max("amt").alias("cust_max_amt"),
         n.alias("cust_n_tx"), distinct_with_null("mcc").alias("cust_n_unique_mcc"), F.countDistinct("event_type").alias("cust_n_unique_channel"), F.avg("hour").alias("cust_avg_hour"), nz(F.stddev("hour"), 0.0).alias("cust_hour_std"),
         share(night).alias("cust_pct_night"), nz(share(F.col("mcc").isin(*risky)), 0.0).alias("cust_pct_high_risk"), (span / 86400).alias("cust_tenure_days"), (span / clip_lo(n - 1, 1)).alias("cust_avg_gap_sec"), (F.max("us") / SECOND).alias("cust_last_epoch"),
-    )
+    ).select("*", F.col("q")[0].alias("cust_med_amt"), F.col("q")[1].alias("cust_p95_amt")).drop("q")
 
 
-def deep_main(df: DataFrame) -> DataFrame:
-    """Moments, quantiles, shares and counts of the deep profile, with the rates derived from them."""
+def value_counts(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """(entity, part, value, n): how often the entity has each value of each column, null too, from one pass."""
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _number(F.col(c), df.schema[c].dataType).alias("value")) for i, c in enumerate(cols)]))
+    return df.select(KEY, parts.alias("x")).groupBy(KEY, "x.part", "x.value").agg(F.count("*").alias("n"))
+
+
+def _number(c: Column, kind) -> Column:
+    return F.unix_date(c).cast("long") if isinstance(kind, DateType) else c.cast("long")
+
+
+def moments(df: DataFrame, *more: Column) -> DataFrame:
+    """The part of the deep profile that needs no distinct count."""
     q = F.percentile("amt", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]))
     g = df.groupBy(KEY).agg(
         F.avg("amt").alias("prof_amt_mean"), F.stddev("amt").alias("prof_amt_std"), F.min("amt").alias("prof_amt_min"), F.max("amt").alias("prof_amt_max"), q.alias("q"),
         F.avg("hour").alias("prof_hour_mean"), F.stddev("hour").alias("prof_hour_std"), share((F.col("hour") >= 22) | (F.col("hour") < 6)).alias("prof_pct_night"), share(F.col("weekday") >= 6).alias("prof_pct_weekend"),
-        F.count("*").alias("prof_n_tx"), distinct_with_null("mcc").alias("prof_n_mcc"), distinct_with_null("session_id").alias("prof_n_sessions"), F.countDistinct("date").alias("prof_active_days"), F.sum("voip").alias("prof_voip"),
+        F.count("*").alias("prof_n_tx"), F.sum("voip").alias("prof_voip"), *more,
     )
     names = ("p10", "p25", "median", "p75", "p90", "p95", "p99")
-    g = g.select("*", *[F.col("q")[i].alias(f"prof_amt_{k}") for i, k in enumerate(names)]).drop("q")
-    return g.withColumns({
+    return g.select("*", *[F.col("q")[i].alias(f"prof_amt_{k}") for i, k in enumerate(names)]).drop("q")
+
+
+def rates(profile: DataFrame) -> DataFrame:
+    return profile.withColumns({
         "prof_amt_iqr": F.col("prof_amt_p75") - F.col("prof_amt_p25"),
         "prof_tx_per_day": F.col("prof_n_tx") / clip_lo(F.col("prof_active_days"), 1),
         "prof_amt_cv": F.col("prof_amt_std") / clip_lo(F.col("prof_amt_mean"), 0.01),
@@ -56,6 +70,18 @@ def deep_main(df: DataFrame) -> DataFrame:
     })
 
 
+def distinct_counts(i: dict[str, int]) -> list[Column]:
+    """Aggregates over ``value_counts``: null counts as a value, but not as a day."""
+    return [F.count_if(F.col("part") == i["mcc"]).alias("prof_n_mcc"), F.count_if(F.col("part") == i["session_id"]).alias("prof_n_sessions"), F.count_if((F.col("part") == i["date"]) & F.col("value").isNotNull()).alias("prof_active_days")]
+
+
+def deep_main(df: DataFrame) -> DataFrame:
+    """Moments, quantiles, shares and counts of the deep profile, with the rates derived from them."""
+    cols = ("mcc", "session_id", "date")
+    counts = value_counts(df, cols).groupBy(KEY).agg(*distinct_counts({c: i for i, c in enumerate(cols)}))
+    return rates(moments(df).join(counts, KEY))
+
+
 def entropy(df: DataFrame, c: str) -> DataFrame:
     """Bits of the entity's distribution of a value: two aggregations, no list is gathered."""
     counts = df.groupBy(KEY, c).agg(F.count("*").alias("n"))
@@ -81,11 +107,25 @@ def daily(df: DataFrame) -> DataFrame:
 
 
 def deep(df: DataFrame) -> DataFrame:
-    """The whole deep profile: its parts are all keyed by the entity, and are joined one to one."""
-    out = deep_main(df)
-    for part in (entropy(df, "hour"), entropy(df, "mcc"), mode(df, "mcc"), gaps(df), daily(df)):
-        out = out.join(part, KEY, "left")
-    return out
+    """The whole deep profile from two passes: one over the events in order (moments and gaps), one over counts of values.
+
+    Both are keyed by the entity, and are joined one to one.
+    """
+    gap = F.floor((F.col("us") - F.lag("us").over(W.partitionBy(KEY).orderBy("us", "event_id"))) / SECOND)
+    q = F.percentile("gap", F.array(F.lit(0.5), F.lit(0.95))).alias("g")
+    first = moments(df.withColumn("gap", gap), F.avg("gap").alias("prof_gap_mean"), F.stddev("gap").alias("prof_gap_std"), q)
+    first = first.select("*", F.col("g")[0].alias("prof_gap_median"), F.col("g")[1].alias("prof_gap_p95")).drop("g")
+    cols = ("mcc", "session_id", "date", "hour")
+    i = {c: k for k, c in enumerate(cols)}
+    of = lambda c, x: F.when(F.col("part") == i[c], x)
+    n = F.col("n")
+    bits = lambda c: entropy_bits(of(c, n), F.sum(of(c, n))).alias(f"prof_{c}_entropy")
+    top = F.max(F.when((F.col("part") == i["mcc"]) & F.col("value").isNotNull(), F.struct(n.alias("n"), (-F.col("value")).alias("low")))).alias("t")
+    days = F.percentile(of("date", n), F.array(F.lit(0.5), F.lit(0.95))).alias("d")
+    counts = value_counts(df, cols).groupBy(KEY).agg(*distinct_counts(i), bits("hour"), bits("mcc"), top, days, F.avg(of("date", n)).alias("daily_mean"), F.stddev(of("date", n)).alias("daily_std"), F.max(of("date", n)).alias("daily_max"), F.count_if(F.col("part") == i["date"]).alias("n_active_days"))
+    mcc = df.schema["mcc"].dataType
+    counts = counts.select("*", (-F.col("t.low")).cast(mcc).alias("prof_top_mcc"), F.col("t.n").alias("prof_top_mcc_n"), F.col("d")[0].alias("daily_median"), F.col("d")[1].alias("daily_p95")).drop("t", "d")
+    return rates(first.join(counts, KEY))
 
 
 def by_mcc(df: DataFrame) -> DataFrame:

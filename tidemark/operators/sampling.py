@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import arith_hash, day_hash
+from tidemark.operators.scoring import quantiles
 
 
 def share(df: DataFrame, fraction: Column | float, seed: int = 42, key: str = "event_id") -> DataFrame:
@@ -42,7 +43,7 @@ def full_days(df: DataFrame, y: str, ratio: float, seed: int = 42, key: str = "c
 
 def hard_negatives(df: DataFrame, y: str, score: str, top: float, easy: float, seed: int = 42) -> DataFrame:
     """Positives, negatives scored in the top share, and a share of the other negatives."""
-    bar = df.filter(F.col(y) == 0).agg(F.percentile(score, F.lit(1 - top)).alias("__bar"))
+    bar = quantiles(df.filter(F.col(y) == 0), score, {"__bar": 1 - top})
     j = df.crossJoin(F.broadcast(bar))
     kept = (F.col(y) == 1) | (F.col(score) >= F.col("__bar")) | (arith_hash(F.col("event_id"), seed) < easy * 4294967296.0)
     return j.filter(kept).drop("__bar")
@@ -53,11 +54,17 @@ def fixed_size(df: DataFrame, n: int, seed: int = 42, key: str = "event_id") ->
     return df.orderBy(arith_hash(F.col(key), seed), key).limit(n)
 
 
-def folds(df: DataFrame, y: str, k: int, seed: int = 42, key: str = "event_id", ranges: int = 64) -> DataFrame:
+def shuffled(df: DataFrame, seed: int = 42, key: str = "event_id") -> DataFrame:
+    """The whole table in the order of the key's hash: rows of a partition, and the partitions, follow each other in it."""
+    return df.orderBy(arith_hash(F.col(key), seed), key)
+
+
+def folds(df: DataFrame, y: str, k: int, seed: int = 42, key: str = "event_id", ranges: int | None = None) -> DataFrame:
     """Stratified folds: within each label, rows in hash order are dealt round-robin.
 
     The order of a label is numbered in ranges of the hash, each after the counts of the ranges before it.
     """
+    ranges = ranges or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     h = arith_hash(F.col(key), seed)
     d = df.withColumn("__h", h).withColumn("__r", F.floor(F.col("__h") * ranges / 4294967296.0))
     counts = d.groupBy(y, "__r").agg(F.count("*").alias("__n"))

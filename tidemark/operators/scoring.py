@@ -1,7 +1,7 @@
-"""Scores of all rows: ranks, average precision, ROC area, precision at K, without a window over everything.
+"""Scores of all rows: ranks, quantiles, average precision, ROC area, precision at K, without a window over everything.
 
-A window without a partition would pull all rows into one task. Ranks over everything
-are built from counts of distinct scores: these are summed by ranges of the score,
+A window without a partition would pull all rows into one task, and so would an exact percentile. Both
+are built from counts of distinct values: these are summed by ranges of the value,
 so that each range is numbered in its own task after the sums of the ranges before it.
 """
 
@@ -11,22 +11,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of the score that are numbered apart.
-RANGES = 64
+#: Ranges of the score that are numbered apart: the least, and the most, between which they are twice the shuffle partitions.
+RANGES, MOST_RANGES = 64, 1024
 
 
-def prefix_counts(df: DataFrame, score: str, aggs: dict[str, Column], desc: bool = True) -> DataFrame:
-    """For each distinct score: its aggregates, and ``<name>_before``, their sums over all scores ahead of it."""
-    by = df.groupBy(F.col(score).alias("s")).agg(*[v.alias(k) for k, v in aggs.items()])
-    bounds = df.agg(F.percentile_approx(score, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("b"))
-    by = by.crossJoin(F.broadcast(bounds)).withColumn("r", F.size(F.filter("b", lambda x: x < F.col("s")))).drop("b")
-    sums = by.groupBy("r").agg(*[F.sum(k).alias(k) for k in aggs])
+def prefix_counts(df: DataFrame, score: str, aggs: dict[str, Column], desc: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each distinct score (of each group): its aggregates, and ``<name>_before``, their sums over all scores ahead of it.
+
+    The input is aggregated once: the bounds of the ranges come from the counts, whose exchange is used again.
+    """
+    spark = df.sparkSession
+    ranges = min(MOST_RANGES, max(RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counts = df.groupBy(*by, F.col(score).alias("s")).agg(*[v.alias(k) for k, v in aggs.items()])
+    # all aggregates are read here too, so that both sides need the same exchange
+    read = F.coalesce(*[F.sum(k).cast("double") for k in aggs], F.lit(0.0)).alias("read")
+    bounds = counts.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(8 * ranges)).alias("b"), read).select(F.array_distinct("b").alias("b"), "read")
+    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("r", F.when(F.col("read").isNotNull(), F.size(F.filter("b", lambda x: x < F.col("s"))))).drop("b", "read")
+    sums = placed.groupBy(*by, "r").agg(*[F.sum(k).alias(k) for k in aggs])
     order = F.col("r").desc() if desc else F.col("r").asc()
-    ahead = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("r", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"__{k}") for k in aggs])
-    inside = W.partitionBy("r").orderBy(F.col("s").desc() if desc else F.col("s").asc()).rowsBetween(W.unboundedPreceding, -1)
-    run = by.join(F.broadcast(offsets), "r")
-    return run.select("s", *aggs, *[(F.col(f"__{k}") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(f"{k}_before") for k in aggs])
+    ahead = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("r").alias("__r"), *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"__{k}") for k in aggs])
+    here = F.col("r").eqNullSafe(F.col("__r"))
+    for i, c in enumerate(by):
+        here = here & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inside = W.partitionBy(*by, "r").orderBy(F.col("s").desc() if desc else F.col("s").asc()).rowsBetween(W.unboundedPreceding, -1)
+    run = placed.join(offsets if by else F.broadcast(offsets), here)
+    return run.select(*by, "s", *aggs, *[(F.col(f"__{k}") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(f"{k}_before") for k in aggs])
+
+
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles (of each group) with linear interpolation, as ``percentile`` gives them, nulls left out; without values, no group and null."""
+    p = prefix_counts(df.filter(F.col(value).isNotNull()), value, {"n": F.count("*")}, desc=False, by=by)
+    total = p.groupBy(*by).agg(F.sum("n").alias("__n")).withColumnsRenamed({c: f"__{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    j = p.join(total, on) if by else p.crossJoin(F.broadcast(total))
+    at = lambda k: F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col("s")))
+    out = []
+    for name, q in qs.items():
+        place = (F.col("__n") - 1) * F.lit(q)
+        low, part = at(F.floor(place)), F.max(place - F.floor(place))
+        out.append((low + (at(F.ceil(place)) - low) * part).alias(name))
+    return j.groupBy(*by).agg(*out)
 
 
 def global_average_rank(df: DataFrame, score: str, out: str) -> DataFrame:
@@ -37,10 +64,11 @@ def global_average_rank(df: DataFrame, score: str, out: str) -> DataFrame:
 
 
 def ordinal(df: DataFrame, score: str, tie: str, out: str, desc: bool = False) -> DataFrame:
-    """Row numbers from 1 over all rows by (score, tie); only rows of one score are numbered together."""
+    """Row numbers from 1 over all rows by (score, tie), which tell rows apart. Rows of one score are numbered by ranges of the tie."""
     p = prefix_counts(df, score, {"n": F.count("*")}, desc=desc).select(F.col("s").alias("__s"), F.col("n_before").alias("__b"))
-    k = F.row_number().over(W.partitionBy(score).orderBy(tie))
-    return df.withColumn("__k", k).join(p, F.col(score).eqNullSafe(F.col("__s"))).withColumn(out, F.col("__b") + F.col("__k")).drop("__s", "__b", "__k")
+    t = prefix_counts(df, tie, {"n": F.count("*")}, desc=False, by=(score,)).select(F.col(score).alias("__s2"), F.col("s").alias("__t"), F.col("n_before").alias("__k"))
+    j = df.join(t, F.col(score).eqNullSafe(F.col("__s2")) & F.col(tie).eqNullSafe(F.col("__t"))).join(p, F.col(score).eqNullSafe(F.col("__s")))
+    return j.withColumn(out, F.col("__b") + F.col("__k") + 1).drop("__s", "__b", "__k", "__s2", "__t")
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -51,11 +79,10 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def average_precision_by(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
-    """Average precision of each group, for groups that fit in a task."""
-    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("tp"))
-    w = W.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    run = g.withColumns({"cn": F.sum("n").over(w), "ct": F.sum("tp").over(w)})
-    return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") * F.col("ct") / F.col("cn")), F.sum("tp")).alias("ap"), F.sum("tp").alias("positives"), F.sum("n").alias("n"))
+    """Average precision of each group; groups of any size are spread over ranges of the score."""
+    p = prefix_counts(df, score, {"n": F.count("*"), "tp": F.sum(F.col(y).cast("long"))}, by=by)
+    ap = F.sum(F.col("tp") * (F.col("tp_before") + F.col("tp")) / (F.col("n_before") + F.col("n")))
+    return p.groupBy(*by).agg(F.try_divide(ap, F.sum("tp")).alias("ap"), F.sum("tp").alias("positives"), F.sum("n").alias("n"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:

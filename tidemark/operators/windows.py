@@ -51,15 +51,15 @@ def running_non_null(c: str) -> Column:
     return F.count(c).over(ordered().rowsBetween(W.unboundedPreceding, 0))
 
 
-def session_before(df: DataFrame, session: str = "session_id", amount: str = "amt") -> DataFrame:
+def session_before(df: DataFrame, session: str = "session_id", amount: str = "amt", row: str = "event_id") -> DataFrame:
     """Operations and amount of the session before each event; 0 without a session.
 
-    Rows without a session are set apart before the window: they would be one giant partition.
+    Rows without a session are keyed by themselves in the same window: keyed by null they would be one giant partition.
     """
-    w = W.partitionBy(session).orderBy("us", "event_id")
-    inside = df.filter(F.col(session).isNotNull()).withColumns({"session_ops_before": (F.row_number().over(w) - 1).cast("int"), "session_amt_before": F.coalesce(F.sum(amount).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))})
-    outside = df.filter(F.col(session).isNull()).withColumns({"session_ops_before": F.lit(0), "session_amt_before": F.lit(0.0)})
-    return inside.unionByName(outside)
+    alone = F.when(F.col(session).isNull(), F.col(row))
+    w = W.partitionBy(session, alone).orderBy("us", "event_id")
+    amount_before = F.coalesce(F.sum(amount).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return df.select("*", F.when(F.col(session).isNull(), 0).otherwise((F.row_number().over(w) - 1).cast("int")).alias("session_ops_before"), F.when(F.col(session).isNull(), 0.0).otherwise(amount_before).alias("session_amt_before"))
 
 
 def history(df: DataFrame) -> DataFrame:

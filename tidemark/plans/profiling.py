@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND, r4, r6
 from tidemark.operators import profiles as P
+from tidemark.operators.scoring import quantiles
 from tidemark.registry import query
 from tidemark.sources.views import TX, TXO, tx, tx_orders
 
@@ -54,6 +55,20 @@ def p02(spark, sf):
     return rounded(P.deep_main(tx(spark, sf)), DEEP_FLOATS)
 
 
+_GAP = "SELECT customer_id, median(gap) AS prof_gap_median, avg(gap) AS prof_gap_mean, stddev_samp(gap) AS prof_gap_std, quantile_cont(gap, 0.95) AS prof_gap_p95 FROM (SELECT customer_id, (us - lag(us) OVER (PARTITION BY customer_id ORDER BY us, event_id)) // 1000000 AS gap FROM tx) GROUP BY customer_id"
+_ENTROPY = "SELECT customer_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM (SELECT customer_id, {0}, count(*) AS n FROM tx GROUP BY ALL) GROUP BY customer_id"
+_WHOLE_FLOATS = (*DEEP_FLOATS, "prof_hour_entropy", "prof_mcc_entropy", "prof_gap_median", "prof_gap_mean", "prof_gap_std", "prof_gap_p95", "daily_mean", "daily_std", "daily_median", "daily_p95")
+
+
+@query("p02_deep_whole", "P02 P04 P06 P07 P08 J10", TX + ", " + deep_sql("tx") + f""", eh AS ({_ENTROPY.format('hour')}), em AS ({_ENTROPY.format('mcc')}), gp AS ({_GAP}),
+mo AS (SELECT customer_id, mcc, n FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, mcc) AS k FROM (SELECT customer_id, mcc, count(*) AS n FROM tx WHERE mcc IS NOT NULL GROUP BY ALL)) WHERE k = 1),
+dy AS (SELECT customer_id, avg(n) AS daily_mean, stddev_samp(n) AS daily_std, median(n) AS daily_median, max(n) AS daily_max, quantile_cont(n, 0.95) AS daily_p95, count(*) AS n_active_days FROM (SELECT customer_id, date, count(*) AS n FROM tx GROUP BY ALL) GROUP BY customer_id),
+w AS (SELECT prof.*, eh.e AS prof_hour_entropy, em.e AS prof_mcc_entropy, mo.mcc AS prof_top_mcc, mo.n AS prof_top_mcc_n, gp.* EXCLUDE (customer_id), dy.* EXCLUDE (customer_id) FROM prof LEFT JOIN eh ON eh.customer_id = prof.customer_id LEFT JOIN em ON em.customer_id = prof.customer_id LEFT JOIN mo ON mo.customer_id = prof.customer_id LEFT JOIN gp ON gp.customer_id = prof.customer_id LEFT JOIN dy ON dy.customer_id = prof.customer_id) """ + replaced(_WHOLE_FLOATS) + " FROM w")
+def p02_whole(spark, sf):
+    """The deep profile with entropies, mode, gaps and daily pattern."""
+    return rounded(P.deep(tx(spark, sf)), _WHOLE_FLOATS)
+
+
 @query("p04_daily", "P04", TX + ", d AS (SELECT customer_id, date, count(*) AS n FROM tx GROUP BY ALL) SELECT customer_id, r4(avg(n)) AS daily_mean, r4(stddev_samp(n)) AS daily_std, r4(median(n)) AS daily_median, max(n) AS daily_max, r4(quantile_cont(n, 0.95)) AS daily_p95, count(*) AS n_active_days FROM d GROUP BY customer_id")
 def p04(spark, sf):
     return rounded(P.daily(tx(spark, sf)), ("daily_mean", "daily_std", "daily_median", "daily_p95"))
@@ -167,4 +182,6 @@ def p22(spark, sf):
 
 @query("p23_scalars", "P23", TX + " SELECT r4(avg(amt)) AS mean, count(*) AS n, count_if(mcc IS NULL)::BIGINT AS n_null_mcc, r4(quantile_cont(amt, 0.95)) AS p95, r4(stddev_samp(amt)) AS std FROM tx")
 def p23(spark, sf):
-    return tx(spark, sf).agg(r4(F.avg("amt")).alias("mean"), F.count("*").alias("n"), F.count_if(F.col("mcc").isNull()).alias("n_null_mcc"), r4(F.percentile("amt", F.lit(0.95))).alias("p95"), r4(F.stddev("amt")).alias("std"))
+    d = tx(spark, sf)
+    g = d.agg(r4(F.avg("amt")).alias("mean"), F.count("*").alias("n"), F.count_if(F.col("mcc").isNull()).alias("n_null_mcc"), r4(F.stddev("amt")).alias("std"))
+    return g.crossJoin(quantiles(d, "amt", {"p95": 0.95})).select("mean", "n", "n_null_mcc", r4(F.col("p95")).alias("p95"), "std")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import SECOND, arith_hash, r6
 from tidemark.operators import encode, sampling
-from tidemark.operators.scoring import ordinal
+from tidemark.operators.scoring import ordinal, quantiles
 from tidemark.registry import query
 from tidemark.sources.views import SC, TX, scored, tx
 
@@ -63,7 +63,7 @@ def o04(spark, sf):
 @query("o05_percentile_mask", "O05", SC + " SELECT event_id FROM sc WHERE s3 >= (SELECT quantile_cont(s3, 0.9) FROM sc)")
 def o05(spark, sf):
     d = scored(spark, sf)
-    return d.crossJoin(F.broadcast(d.agg(F.percentile("s3", F.lit(0.9)).alias("bar")))).filter("s3 >= bar").select("event_id")
+    return d.crossJoin(F.broadcast(quantiles(d, "s3", {"bar": 0.9}))).filter("s3 >= bar").select("event_id")
 
 
 @query("o06_halves", "O06", SC + ", p AS (SELECT event_id, row_number() OVER (ORDER BY s3, event_id) AS k, count(*) OVER () AS n FROM sc WHERE target = 1) SELECT event_id, CASE WHEN k <= n // 2 THEN 'missed' ELSE 'caught' END AS half FROM p")
@@ -125,6 +125,13 @@ def m07(spark, sf):
     return sampling.fixed_size(tx(spark, sf).select("event_id"), 777)
 
 
+@query("m10_shuffle", "M10", TX + f", h AS (SELECT event_id, {H('event_id')} AS h FROM tx) SELECT event_id, row_number() OVER (ORDER BY h, event_id) AS place FROM h")
+def m10(spark, sf):
+    """The whole table shuffled; places are numbered by ranges of the hash."""
+    d = tx(spark, sf).select("event_id").withColumn("h", arith_hash(F.col("event_id")))
+    return sampling.shuffled(ordinal(d, "h", "event_id", "place").select("event_id", "place"))
+
+
 @query("m08_folds", "M08", SC + f" SELECT event_id, y, ((row_number() OVER (PARTITION BY y ORDER BY {H('event_id')}, event_id) - 1) % 5)::INT AS fold FROM sc")
 def m08(spark, sf):
     return sampling.folds(scored(spark, sf).select("event_id", "y"), "y", 5)

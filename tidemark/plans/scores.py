@@ -44,7 +44,7 @@ _BOOST = SC + ", q AS (SELECT quantile_cont(s3, 0.95) AS bar, quantile_cont(s3,
 @query("x04_entity_boost", "X04 X05", _BOOST + " SELECT event_id, r6(s3 * pow(mx, 3.13)) AS m1, r6(pow(s3, 1.2) * pow(mx, 2)) AS m2, r6(pow(s3, 1.2) * pow(mx, 2) * pow(mean, 0.5)) AS m3, r6(pow(s3, 1.21) * pow(mx, 4.8) * pow(n_high + 1, 0.05) * pow(rng + 0.001, -0.11)) AS m4, r6(pow(s3, 1.2) * pow(mx, 2) * pow(1 - pct, 0.3)) AS m5, r6(CASE WHEN mx > b80 THEN s3 * mx ELSE s3 END) AS conditional FROM b")
 def x04(spark, sf):
     d = scored(spark, sf)
-    q = d.agg(F.percentile("s3", F.array(F.lit(0.95), F.lit(0.8))).alias("q"))
+    q = S.quantiles(d, "s3", {"p95": 0.95, "p80": 0.8}).select(F.array("p95", "p80").alias("q"))
     w = W.partitionBy("customer_id")
     s, mx, mean = F.col("s3"), F.max("s3").over(w), F.avg("s3").over(w)
     rng, n = mx - F.min("s3").over(w), F.count("*").over(w)
@@ -117,9 +117,10 @@ def x12(spark, sf):
 SELECT class, count(*) AS n, r6(avg(s3)) AS mean, r6(median(s3)) AS median, r6(min(s3)) AS low, r6(max(s3)) AS high, r6(quantile_cont(s3, 0.25)) AS p25, r6(quantile_cont(s3, 0.99)) AS p99, r6(avg((s3 > mid)::INT::DOUBLE)) AS above_confirmed FROM c, m GROUP BY class""")
 def x13(spark, sf):
     d = scored(spark, sf).select(F.coalesce("target", F.lit(2)).alias("class"), "s3")
-    mid = d.filter("class = 0").agg(F.median("s3").alias("mid"))
-    q = lambda x: r6(F.percentile("s3", F.lit(x)))
-    return d.crossJoin(F.broadcast(mid)).groupBy("class").agg(F.count("*").alias("n"), r6(F.avg("s3")).alias("mean"), r6(F.median("s3")).alias("median"), r6(F.min("s3")).alias("low"), r6(F.max("s3")).alias("high"), q(0.25).alias("p25"), q(0.99).alias("p99"), r6(F.avg((F.col("s3") > F.col("mid")).cast("double"))).alias("above_confirmed"))
+    q = S.quantiles(d, "s3", {"median": 0.5, "p25": 0.25, "p99": 0.99}, by=("class",))
+    mid = q.filter("class = 0").agg(F.max("median").alias("mid"))
+    g = d.crossJoin(F.broadcast(mid)).groupBy("class").agg(F.count("*").alias("n"), r6(F.avg("s3")).alias("mean"), r6(F.min("s3")).alias("low"), r6(F.max("s3")).alias("high"), r6(F.avg((F.col("s3") > F.col("mid")).cast("double"))).alias("above_confirmed"))
+    return g.join(q.select("class", *[r6(F.col(c)).alias(c) for c in ("median", "p25", "p99")]), "class")
 
 
 _F = ("amt", "hour", "weekday", "mcc")
