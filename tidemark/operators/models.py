@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.sampling import folds
+from tidemark.sources.sinks import scratch, write_parquet
 
 
 def focal(df: DataFrame, y: str, raw: str, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
@@ -35,6 +38,23 @@ def learner(kind: str, y: str, seed: int, weight: str | None = None, validation:
     return m
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table that several models read: written once to the shared folder, not held in executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_parquet(df, f"training-{uuid.uuid4().hex}"))
+
+
+def saved(model, spark: SparkSession, name: str) -> str:
+    """Write a trained model to the shared folder; the path."""
+    path = f"{scratch(spark)}/models/{name}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def importances(models: list, features: tuple[str, ...], spark: SparkSession) -> DataFrame:
+    """(feature, seed, gain) of trained trees: one row a feature and model."""
+    return spark.createDataFrame([(f, k, float(m.featureImportances[i])) for k, m in enumerate(models) for i, f in enumerate(features)], "feature string, seed int, gain double")
+
+
 def predict(model, df: DataFrame, out: str) -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
@@ -50,7 +70,7 @@ def ensemble(train: DataFrame, test: DataFrame, y: str, kind: str = "gbt", seeds
 
 def out_of_fold(df: DataFrame, y: str, k: int = 3, kind: str = "gbt", key: str = "event_id", trees: int = 5) -> DataFrame:
     """Each row scored by the model that has not seen its fold."""
-    d = folds(df, y, k, key=key).cache()
+    d = stored(folds(df, y, k, key=key))
     parts = [predict(learner(kind, y, f, trees=trees).fit(d.filter(F.col("fold") != f)), d.filter(F.col("fold") == f), "oof") for f in range(k)]
     out = parts[0]
     for p in parts[1:]:
