@@ -90,27 +90,16 @@ def e14(spark, sf):
     return out(p.select("event_id", F.when(known, (amt - mean) / clip_lo(std, 1.0)).alias("anom_amt_zscore"), F.when(known, amt / clip_lo(mean + 1.645 * std, 1.0)).alias("anom_amt_vs_p95"), flag(amt > F.col("pit_max")).alias("anom_amt_above_max"), F.log1p(F.col("occ").cast("double")).alias("anom_mcc_familiarity"), (F.col("occ") / clip_lo(F.col("pit_n"), 1)).alias("anom_mcc_share"), nz((gap - 3600) / 7200, 0.0).alias("anom_gap_zscore"), nz(gap / 3600, 1.0).alias("anom_gap_ratio"), F.log2(clip_lo(F.col("pit_n_mcc"), 1).cast("double")).alias("prof_mcc_entropy")))
 
 
-_PT = TX + ", o AS (SELECT * FROM tx WHERE period = 'pretrain' AND customer_id % 5 <> 0), w AS (SELECT * FROM tx WHERE period = 'pretest' AND customer_id % 4 <> 0), old AS (WITH " + deep_sql("o") + " SELECT * FROM prof), new AS (WITH " + deep_sql("w") + " SELECT * FROM prof), mp AS (SELECT DISTINCT customer_id, mcc FROM w WHERE mcc IS NOT NULL)"
-
-
 _PT_ANOM = """, j AS (SELECT tx.*, coalesce(new.prof_amt_mean, old.prof_amt_mean) AS m, coalesce(new.prof_amt_std, old.prof_amt_std) AS s, coalesce(new.prof_amt_median, old.prof_amt_median) AS d, coalesce(new.prof_hour_mean, old.prof_hour_mean) AS hm, mp.mcc AS known FROM tx LEFT JOIN new ON new.customer_id = tx.customer_id LEFT JOIN old ON old.customer_id = tx.customer_id LEFT JOIN mp ON mp.customer_id = tx.customer_id AND mp.mcc = tx.mcc WHERE period = 'test')
 SELECT event_id, r4((amt - m) / CASE WHEN s < 1 THEN 1 ELSE s END) AS pt_amt_zscore, r4(amt / CASE WHEN d < 1 THEN 1 ELSE d END) AS pt_amt_vs_median, r4(CASE WHEN abs(hour - hm) > 12 THEN 12 ELSE abs(hour - hm) END) AS pt_hour_deviation, (known IS NULL)::INT AS pt_mcc_novel FROM j"""
 
 
-@query("e15_pretest_anomaly", "E15 E20", _PT + _PT_ANOM)
-def e15(spark, sf):
-    d = tx(spark, sf)
-    old = P.deep_main(d.filter("period = 'pretrain' and customer_id % 5 <> 0"))
-    w = d.filter("period = 'pretest' and customer_id % 4 <> 0")
-    return out(X.pretest_anomalies(d.filter("period = 'test'"), old, P.deep_main(w), P.by_mcc(w)))
-
-
 _PT_ALL = TX + ", o AS (SELECT * FROM tx WHERE period = 'pretrain'), w AS (SELECT * FROM tx WHERE period = 'pretest'), old AS (WITH " + deep_sql("o") + " SELECT * FROM prof), new AS (WITH " + deep_sql("w") + " SELECT * FROM prof), mp AS (SELECT DISTINCT customer_id, mcc FROM w WHERE mcc IS NOT NULL)"
 
 
 @query("e15_pretest_anomaly_all", "E15 E20", _PT_ALL + _PT_ANOM)
 def e15_all(spark, sf):
-    """e15_pretest_anomaly with both profiles from all rows."""
+    """Both profiles from all rows; their fallbacks are tested on a small frame."""
     d = tx(spark, sf)
     w = d.filter("period = 'pretest'")
     return out(X.pretest_anomalies(d.filter("period = 'test'"), P.deep_main(d.filter("period = 'pretrain'")), P.deep_main(w), P.by_mcc(w)))
