@@ -6,7 +6,8 @@ next one through an output that is factored into classes of members: P(class) ti
 P(member given class). Within a unit a word has its smoothed share of the unit's
 training tokens, so that every text has a probability. Training is truncated
 back-propagation over windows; states run on through the windows of a document, in
-training and in scoring, and begin anew with each document.
+training and in scoring, and begin anew with each document. In training a very long
+document counts as several, so that the lanes of a batch end together.
 
 Documents are dealt to chunks of about CHUNK_BYTES by a hash of key and text, in the order of their keys, so that a chunk
 does not depend on how the input is laid out. Counts cover every training document. They are found by exchange: each chunk sends
@@ -30,8 +31,8 @@ from tidemark.llm.common import checkpointed, for_join, python_on_executors, tab
 from tidemark.llm.repeats import part_of
 from tidemark.llm.shingles import mix, words_of
 
-HIDDEN = 16
-CLASSES = MEMBERS = 16
+HIDDEN = 24
+CLASSES = MEMBERS = 24
 UNITS = CLASSES * MEMBERS
 #: Units of single words, and of word endings; the others are the end (0) and the rest (the last).
 HEAD = ENDINGS = (UNITS - 2) // 2
@@ -39,9 +40,13 @@ WINDOW = 32
 SMOOTH = 0.1
 CHUNK_BYTES = 8 << 20
 #: Bytes of texts for each part of an exchange, at most; more text makes more parts.
-PART_BYTES = 64 << 20
-#: Rounds of training: a round's share of the documents of each chunk in sixteenths, its passes and its rate.
-ROUNDS = ((1, 3, 1e-2), (3, 1, 6e-3), (4, 1, 5e-3), (8, 1, 4e-3))
+PART_BYTES = 32 << 20
+#: Rounds of training: a round's share of the documents of each chunk in sixteenths, and its rate.
+ROUNDS = ((2, 1.5e-2), (3, 1.2e-2), (4, 1e-2), (7, 6e-3))
+#: Documents that are trained on side by side: as many lanes as give LANE_WINDOWS windows, at most.
+LANES, LANE_WINDOWS = 256, 8
+#: In training (not in scoring) the state begins anew after so many tokens of a document.
+PIECE = 32 * WINDOW
 ENTRY = np.dtype([("word", "<u8"), ("count", "<u4"), ("ending", "<u2")])
 
 
@@ -74,24 +79,32 @@ def states(p: dict, units: np.ndarray, first: np.ndarray, h: np.ndarray, keep: b
     """Run a window (steps, lanes): states before each prediction, the last state, and what back-propagation needs.
 
     units are the inputs (the token before the predicted one); where first is set, a document begins and the state is zero.
+    Within, lanes run along the last axis, so that every step works on whole rows.
     """
     steps, lanes = units.shape
-    out = np.empty((steps, lanes, HIDDEN), np.float32)
+    n_ = HIDDEN
+    xs = np.ascontiguousarray(p["x"][units].transpose(0, 2, 1))
+    u = np.ascontiguousarray(p["u"].T)
+    out = np.empty((steps, n_, lanes), np.float32)
     held = [] if keep else None
-    x, u, n_ = p["x"], p["u"], HIDDEN
+    begins = first.any(axis=1)
+    h = np.ascontiguousarray(h.T, np.float32)
     for t in range(steps):
-        if first[t].any():
-            h = h * (~first[t])[:, None]
-        a = h @ u
-        xt = x[units[t]]
-        gates = sigmoid(xt[:, : 2 * n_] + a[:, : 2 * n_])
-        z, r = gates[:, :n_], gates[:, n_:]
-        n = np.tanh(xt[:, 2 * n_ :] + r * a[:, 2 * n_ :])
-        new = n + z * (h - n)
+        if begins[t]:
+            h = h * ~first[t]
+        a, x = u @ h, xs[t]
+        gates = sigmoid(x[: 2 * n_] + a[: 2 * n_])
+        z, r = gates[:n_], gates[n_:]
+        n = r * a[2 * n_ :]
+        n += x[2 * n_ :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
         if keep:
-            held.append((h, a[:, 2 * n_ :], z, r, n))
+            held.append((h, a[2 * n_ :], z, r, n))
         out[t] = h = new
-    return out, h, held
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), h.T, held
 
 
 def predict(p: dict, hs: np.ndarray, target: np.ndarray, grad: bool):
@@ -128,34 +141,44 @@ def predict(p: dict, hs: np.ndarray, target: np.ndarray, grad: bool):
 def gradients(p: dict, inputs: np.ndarray, target: np.ndarray, first: np.ndarray, used: np.ndarray, h: np.ndarray):
     """Mean gradients over the used tokens of a window, the last state, and the summed log probability."""
     steps, lanes = inputs.shape
+    n_ = HIDDEN
     hs, last, held = states(p, inputs, first, h, True)
     flat = used.reshape(-1)
-    score, g, dflat = predict(p, hs.reshape(-1, HIDDEN)[flat], target.reshape(-1)[flat], True)
-    dh_out = np.zeros((steps * lanes, HIDDEN), np.float32)
+    score, g, dflat = predict(p, hs.reshape(-1, n_)[flat], target.reshape(-1)[flat], True)
+    dh_out = np.zeros((steps * lanes, n_), np.float32)
     dh_out[flat] = dflat
-    dh_out = dh_out.reshape(steps, lanes, HIDDEN)
-    da = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    dh_out = np.ascontiguousarray(dh_out.reshape(steps, lanes, n_).transpose(0, 2, 1))
+    da = np.empty((steps, 3 * n_, lanes), np.float32)
     dx = np.empty_like(da)
-    dh, n_ = np.zeros((lanes, HIDDEN), np.float32), HIDDEN
+    begins = first.any(axis=1)
+    dh, one = np.zeros((n_, lanes), np.float32), np.float32(1)
     for t in range(steps - 1, -1, -1):
         hp, an, z, r, n = held[t]
-        dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (hp - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx[t, :, :n_], dx[t, :, n_ : 2 * n_], dx[t, :, 2 * n_ :] = dz, dr, dn
-        da[t, :, : 2 * n_], da[t, :, 2 * n_ :] = dx[t, :, : 2 * n_], dn * r
-        dh = dh * z + da[t] @ p["u"].T
-        if first[t].any():
-            dh = dh * (~first[t])[:, None]
-    before = np.stack([x[0] for x in held]).reshape(-1, HIDDEN)
-    g["u"] = before.T @ da.reshape(-1, 3 * HIDDEN)
+        dh += dh_out[t]
+        dz, dr, dn = dx[t, :n_], dx[t, n_ : 2 * n_], dx[t, 2 * n_ :]
+        rest = one - z
+        np.multiply(dh, rest, out=dn)
+        np.subtract(hp, n, out=dz)
+        dz *= dn
+        dz *= z
+        dn *= one - n * n
+        np.multiply(dn, an, out=dr)
+        dr *= r
+        dr *= one - r
+        da[t, : 2 * n_] = dx[t, : 2 * n_]
+        np.multiply(dn, r, out=da[t, 2 * n_ :])
+        dh *= z
+        dh += p["u"] @ da[t]
+        if begins[t]:
+            dh *= ~first[t]
+    before = np.stack([x[0] for x in held])
+    g["u"] = np.matmul(before, da.transpose(0, 2, 1)).sum(axis=0)
     g["x"] = np.zeros_like(p["x"])
     ids = inputs.reshape(-1)
     order = np.argsort(ids.astype(np.uint16), kind="stable")
     s = ids[order]
     turn = np.flatnonzero(np.diff(s, prepend=-1))
-    g["x"][s[turn]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], turn, axis=0)
+    g["x"][s[turn]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * n_)[order], turn, axis=0)
     n = max(1, int(flat.sum()))
     return {k: v / n for k, v in g.items()}, last, float(score.sum(dtype=np.float64))
 
@@ -179,9 +202,19 @@ class Adam:
 
 
 class Lanes:
-    """Documents laid end to end in lanes, longest first to the shortest lane; lanes in order of length."""
+    """Documents laid end to end in lanes, longest first to the shortest lane; lanes in order of length.
 
-    def __init__(self, units: np.ndarray, sizes: np.ndarray, lanes: int):
+    With ``piece``, documents are cut into pieces of so many tokens, which begin with no state, so that lanes end together.
+    """
+
+    def __init__(self, units: np.ndarray, sizes: np.ndarray, lanes: int, piece: int | None = None):
+        begins = np.cumsum(sizes) - sizes
+        whole = begins[sizes > 0]
+        if piece:
+            count = -(-sizes // piece)
+            rest = sizes - (count - 1) * piece
+            sizes = np.full(int(count.sum()), piece, np.int64)
+            sizes[np.cumsum(count)[count > 0] - 1] = rest[count > 0]
         order = np.argsort(-sizes, kind="stable")
         k = max(1, min(lanes, len(sizes)))
         held: list[list[int]] = [[] for _ in range(k)]
@@ -202,7 +235,7 @@ class Lanes:
         self.first[starts[sizes > 0]] = True
         self.units = units
         self.inputs = np.concatenate([[0], units[:-1]]).astype(np.int64)
-        self.inputs[self.first] = 0
+        self.inputs[whole] = 0
 
     def windows(self):
         """(places, used, active lanes) of each window: (steps, lanes) places in units."""
@@ -217,7 +250,7 @@ class Lanes:
 
 
 def train(p: dict, opt: Adam, units: np.ndarray, sizes: np.ndarray, rate: float) -> float:
-    lanes = Lanes(units, sizes, int(np.clip(len(units) // (WINDOW * 40), 8, 192)))
+    lanes = Lanes(units, sizes, int(np.clip(len(units) // (WINDOW * LANE_WINDOWS), 8, LANES)), PIECE)
     h, total = np.zeros((len(lanes.docs), HIDDEN), np.float32), 0.0
     for place, used, active in lanes.windows():
         g, h, s = gradients(p, lanes.inputs[place], lanes.units[place], lanes.first[place] & used, used, h[:active])
@@ -270,7 +303,7 @@ def dealt(docs: DataFrame, key: str, text: str, held: Column) -> tuple[DataFrame
     if (n := hot.count()) > 0:
         rows = rows.join(for_join(hot, n), F.col("id").eqNullSafe(F.col("hot_id")) & (F.col("print") == F.col("hot_print")), "left")
         chunk = F.when(F.col("hot_print").isNull(), chunk).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)))
-    return rows.withColumn("chunk", chunk).repartition(parts, "chunk").sortWithinPartitions("chunk", "id", "print").select("chunk", "id", "held", "body"), parts
+    return rows.withColumn("chunk", chunk).repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int")).sortWithinPartitions("chunk", "id", "print").select("chunk", "id", "held", "body"), parts
 
 
 def chunks(docs: DataFrame, key: str, text: str, held: Column) -> tuple[DataFrame, int]:
@@ -443,7 +476,7 @@ def unpack(raw: np.ndarray) -> dict:
 def fit(table_: DataFrame, units: Units) -> dict:
     """Weights from all training documents, in rounds of one replica a chunk. Chunks are about as large, and their replicas count alike: a chunk that holds one endless text must not outweigh the others."""
     rows = table_.select("held", "sizes", "tokens", "words")
-    shares = np.cumsum([share for share, _, _ in ROUNDS])
+    shares = np.cumsum([share for share, _ in ROUNDS])
 
     def replicas(start: dict, k: int):
         def run(batches):
@@ -457,9 +490,7 @@ def fit(table_: DataFrame, units: Units) -> dict:
                 tokens = expanded(raw, np.int32, int(sizes.sum()))
                 seq, full, _ = sequence(tokens[np.repeat(keep, sizes)], sizes[keep], units.of(words)[0])
                 p = {name: v.copy() for name, v in start.items()}
-                opt = Adam(p)
-                for again in range(ROUNDS[k][1]):
-                    train(p, opt, seq, full, ROUNDS[k][2] / (1 + again))
+                train(p, Adam(p), seq, full, ROUNDS[k][1])
                 total, n = np.frombuffer(pack(p)) + (0 if total is None else total), n + 1
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
