@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Ranges of the score that are numbered apart: the least, and the most, between which they are twice the shuffle partitions.
-RANGES, MOST_RANGES = 64, 1024
+RANGES, MOST_RANGES = 16, 1024
 
 
 def prefix_counts(df: DataFrame, score: str, aggs: dict[str, Column], desc: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
@@ -26,7 +26,11 @@ def prefix_counts(df: DataFrame, score: str, aggs: dict[str, Column], desc: bool
     # all aggregates are read here too, so that both sides need the same exchange
     read = F.coalesce(*[F.sum(k).cast("double") for k in aggs], F.lit(0.0)).alias("read")
     bounds = counts.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(8 * ranges)).alias("b"), read).select(F.array_distinct("b").alias("b"), "read")
-    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("r", F.when(F.col("read").isNotNull(), F.size(F.filter("b", lambda x: x < F.col("s"))))).drop("b", "read")
+    # the bounds below a score are counted in two steps: every k-th of them, then those between
+    k = int(ranges**0.5 + 0.5)
+    below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col("s")))
+    placed = counts.crossJoin(F.broadcast(bounds.withColumn("c", F.filter("b", lambda x, i: (i + 1) % k == 0)))).withColumn("i", below(F.col("c")) * k)
+    placed = placed.withColumn("r", F.when(F.col("read").isNotNull(), F.col("i") + below(F.slice("b", F.col("i") + 1, F.lit(k))))).drop("b", "c", "i", "read")
     sums = placed.groupBy(*by, "r").agg(*[F.sum(k).alias(k) for k in aggs])
     order = F.col("r").desc() if desc else F.col("r").asc()
     ahead = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
