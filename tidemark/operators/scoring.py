@@ -24,21 +24,21 @@ def prefix_counts(df: DataFrame, score: str, aggs: dict[str, Column], desc: bool
     ranges = min(MOST_RANGES, max(RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counts = df.groupBy(*by, F.col(score).alias("s")).agg(*[v.alias(k) for k, v in aggs.items()])
     # all aggregates are read here too, so that both sides need the same exchange
-    read = F.coalesce(*[F.sum(k).cast("double") for k in aggs], F.lit(0.0)).alias("read")
-    bounds = counts.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(8 * ranges)).alias("b"), read).select(F.array_distinct("b").alias("b"), "read")
+    read = F.coalesce(*[F.sum(k).cast("double") for k in aggs], F.lit(0.0)).alias("__read")
+    bounds = counts.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(8 * ranges)).alias("__b"), read).select(F.array_distinct("__b").alias("__b"), "__read")
     # the bounds below a score are counted in two steps: every k-th of them, then those between
     k = int(ranges**0.5 + 0.5)
     below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col("s")))
-    placed = counts.crossJoin(F.broadcast(bounds.withColumn("c", F.filter("b", lambda x, i: (i + 1) % k == 0)))).withColumn("i", below(F.col("c")) * k)
-    placed = placed.withColumn("r", F.when(F.col("read").isNotNull(), F.col("i") + below(F.slice("b", F.col("i") + 1, F.lit(k))))).drop("b", "c", "i", "read")
-    sums = placed.groupBy(*by, "r").agg(*[F.sum(k).alias(k) for k in aggs])
-    order = F.col("r").desc() if desc else F.col("r").asc()
+    placed = counts.crossJoin(F.broadcast(bounds.withColumn("__c", F.filter("__b", lambda x, i: (i + 1) % k == 0)))).withColumn("__i", below(F.col("__c")) * k)
+    placed = placed.withColumn("__range", F.when(F.col("__read").isNotNull(), F.col("__i") + below(F.slice("__b", F.col("__i") + 1, F.lit(k))))).drop("__b", "__c", "__i", "__read")
+    sums = placed.groupBy(*by, "__range").agg(*[F.sum(k).alias(k) for k in aggs])
+    order = F.col("__range").desc() if desc else F.col("__range").asc()
     ahead = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("r").alias("__r"), *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"__{k}") for k in aggs])
-    here = F.col("r").eqNullSafe(F.col("__r"))
+    offsets = sums.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"__{k}") for k in aggs])
+    here = F.col("__range").eqNullSafe(F.col("__r"))
     for i, c in enumerate(by):
         here = here & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    inside = W.partitionBy(*by, "r").orderBy(F.col("s").desc() if desc else F.col("s").asc()).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*by, "__range").orderBy(F.col("s").desc() if desc else F.col("s").asc()).rowsBetween(W.unboundedPreceding, -1)
     run = placed.join(offsets if by else F.broadcast(offsets), here)
     return run.select(*by, "s", *aggs, *[(F.col(f"__{k}") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(f"{k}_before") for k in aggs])
 
