@@ -80,6 +80,31 @@ def test_search_against_a_grid(spark):
     assert best == pytest.approx(ap(w)) and best >= max(ap((i / 20, 1 - i / 20)) for i in range(21)) - 5e-3
 
 
+def test_search_sorts_ranges_of_any_scores(spark, monkeypatch):
+    """Many ranges and pieces, ties, nulls, NaN and labels without a value: as the aggregates of scores have them."""
+    monkeypatch.setattr(search, "RANGE_ROWS", 40)
+    monkeypatch.setattr(search, "PIECE_ROWS", 70)
+    rng = random.Random(8)
+    odd = [None, float("nan"), float("inf"), 0.0, -0.0]
+    rows = [(rng.choice((0, 0, 1, None)), rng.choice(odd) if i % 9 == 0 else rng.randrange(30) / 8, rng.gauss(0, 1) if i % 3 else 0.5) for i in range(900)]
+    d = spark.createDataFrame(rows, "y int, a double, b double").repartition(3)
+    points = [[1.0, 0.0], [0.5, 0.25], [-2.0, 0.125], [0.0, 0.0]]
+    got = search.precisions(d, "y", ("a", "b"), points)
+    for p, ap in zip(points, got):
+        blend = F.lit(0.0) + F.lit(p[0]) * F.col("a") + F.lit(p[1]) * F.col("b")
+        assert ap == pytest.approx(scoring.average_precision(d.withColumn("s", blend), "y", "s").first()["ap"], rel=1e-12)
+    assert search.precisions(d.limit(0), "y", ("a", "b"), points[:2]) == [0.0, 0.0] == search.precisions(d.withColumn("y", F.lit(0)), "y", ("a", "b"), points[:2])
+
+
+def test_search_scores_no_point_that_it_does_not_need(spark, monkeypatch):
+    _, d = points(spark, 100)
+    asked, true = [], search.precisions
+    monkeypatch.setattr(search, "precisions", lambda df, y, scores, p, *more: asked.append(len(p)) or true(df, y, scores, p, *more))
+    search.nelder_mead(d, "y", ("a", "b"), starts=3, rounds=4)
+    # the corners, then in each round the reflections and at most one more point of each start, and corners of simplices that shrink
+    assert asked[0] == 9 and sum(asked[1:]) <= 4 * 3 * 4 and sum(k <= 3 for k in asked[1:]) >= 8
+
+
 def test_isolation_sets_outliers_apart(spark):
     rng = random.Random(2)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)] + [(1000, 9.0, 9.0), (1001, -8.0, 9.0), (1002, None, None)]

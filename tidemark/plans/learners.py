@@ -95,7 +95,7 @@ def l09(spark, sf):
 
 @query("x03_nelder_mead", "X03")
 def x03_search(spark, sf):
-    """Weights of three scores by a simplex search from four starts, 12 rounds; the rows are written once, each round reads them once or twice."""
+    """Weights of three scores by a simplex search from four starts, 12 rounds; the rows are written once, each evaluation reads them twice."""
     d = scored(spark, sf)
     d = M.stored(d.select("y", "s1", "s2", (F.col("hour") / 24).alias("s4")))
     w, ap = search.nelder_mead(d, "y", ("s1", "s2", "s4"))
