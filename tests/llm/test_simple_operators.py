@@ -4,9 +4,12 @@ import gzip
 import hashlib
 import io
 import json
+import math
+import random
 import textwrap
 import zipfile
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -421,3 +424,41 @@ def test_headers_and_whole_texts(spark):
     d = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
     got = {r["doc_id"]: r["own_license"] for r in licenses.scan_licenses(d).collect()}
     assert [(i, got[i]) for i in range(len(cases))] == [(i, k) for i, (k, _) in enumerate(cases)]
+
+
+def test_blocks_of_any_length_and_place(spark):
+    """Licences of many paragraphs (double-spaced lines) in the middle of a file, and one whose only cues are broken over lines."""
+    folder = Path(license_texts.__file__).with_suffix("")
+    double = lambda text: "\n\n".join(textwrap.wrap(text, 40))
+    prose = "\n\n".join(f"The {w} of the hill walked to the sea with {w}s and sang all day of {w} and salt." for w in ("miller", "baker", "smith", "weaver", "cooper", "fisher"))
+    cases = [(k, f"{prose}\n\n{prose}\n\n{double((folder / f'{k}.txt').read_text())}\n\n{prose}") for k in ("MIT", "BSD-3-Clause", "LGPL-2.1", "GPL-2.0")]
+    broken = "# " + dict(license_texts.HEADERS)["0BSD"].replace("hereby granted", "hereby\n# granted")
+    cases += [("0BSD", broken), (None, prose)]
+    d = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan_licenses(d).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
+
+
+def test_blocks_by_brute_force(monkeypatch):
+    monkeypatch.setattr(license_texts, "ENDS", 5)
+    held = license_texts.Texts()
+    folder, rng = Path(license_texts.__file__).with_suffix(""), random.Random(6)
+    pool = [p for k in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "MPL-2.0") for p in license_texts.paragraphs((folder / f"{k}.txt").read_text())]
+    found = 0
+    for _ in range(40):
+        at, size = rng.randrange(len(pool)), rng.randrange(1, 25)
+        parts = [rng.choice((f"word{rng.randrange(9)} and the sea", "of", rng.choice(pool))) for _ in range(rng.randrange(8))] + pool[at : at + size] + [f"more {rng.randrange(5)} of it"] * rng.randrange(4)
+        text = "\n\n".join(parts)
+        parts, best = license_texts.paragraphs(text), (0.0, 0)
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                counts = sum((license_texts.terms(p) for p in parts[i:j]), Counter())
+                norm = math.sqrt(sum((n * held.idf.get(t, held.unseen)) ** 2 for t, n in counts.items()))
+                if norm and any(license_texts.CUE.search(p) for p in parts[i:j]):
+                    dot = sum((held.of[t] * (n * held.idf[t]) for t, n in counts.items() if t in held.of), held.of["license"] * 0)
+                    best = max(best, (round(float(dot.max()) / norm, 9), -int(dot.argmax())))
+        want = (held._named(held.ids[-best[1]], text), min(1.0, best[0])) if best[0] >= license_texts.LEAST else None
+        got = held.best(text)
+        found += want is not None
+        assert (got is None) == (want is None) and (got is None or got[0] == want[0] and abs(got[1] - want[1]) < 2e-6)
+    assert 10 < found

@@ -37,12 +37,14 @@ HEADERS = (
     ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org>'),
 )
 TERM = re.compile(r"version[\s#*/;%-]+[0-9]+(?:\.[0-9]+)*|[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
-CUE = re.compile(r"licen[cs]e|copyright|spdx|rights reserved|redistribution and use|permission|general public|warrant|public domain", re.I)
+#: A block counts only with one of these in it; their words may be parted by ends of lines and marks of comments. Any text with a cue has one of the words of SIGN.
+CUE = re.compile(r"licen[cs]e|copyright|spdx|rights\W+reserved|redistribution\W+and\W+use|permission|general\W+public|warrant|public\W+domain", re.I | re.A)
+SIGN = r"(?i)licen[cs]e|copyright|spdx|reserved|redistribution|permission|public|warrant"
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]*[A-Za-z0-9.+)])")
 MARK = re.compile(r"\s*(#|//|\*|--|;|%|dnl\b|rem\b)", re.I)
-#: Least similarity of a block of text, and the most paragraphs in one.
+#: Least similarity of a block of text. Blocks that end in so many paragraphs in a row are ruled out by one bound.
 LEAST = 0.75
-MOST_PARAGRAPHS = 12
+ENDS = 64
 #: Texts that differ from their siblings in little but the title; the folder lacks the siblings.
 AFFERO = re.compile(r"^\W*gnu affero general public license\W*$", re.I | re.M)
 CREATIVE = re.compile(r"attribution((?:-(?:noncommercial|sharealike|noderivatives))*) 4\.0 international", re.I)
@@ -87,31 +89,54 @@ class Texts:
                 self.of.setdefault(t, np.zeros(len(held)))[i] = n * self.idf[t] / norm
 
     def best(self, text: str) -> tuple[str, float] | None:
-        """(license, similarity) of the identifier that a text declares, else of the run of its paragraphs that is most like a text or header."""
+        """(license, similarity) of the identifier that a text declares, else of that run of its paragraphs, of any length, that is most like a text or header."""
         if declared := SPDX.search(text):
             return declared[1].strip(), 1.0
         parts = paragraphs(text)
-        counts = [terms(p) for p in parts]
-        zero = np.zeros(len(self.ids))
-        dots = [sum((self.of[t] * (n * self.idf[t]) for t, n in c.items() if t in self.of), zero) for c in counts]
         cue = [bool(CUE.search(p)) for p in parts]
-        top = (0.0, 0, 0, 0)
-        starts = [i for i in range(len(parts)) if any(cue[i : i + MOST_PARAGRAPHS])]
-        for i in sorted({0, *starts}):
-            last = len(parts) if i == 0 else min(len(parts), i + MOST_PARAGRAPHS)
-            held, dot, norm, seen = Counter(), zero, 0.0, False
-            for j in range(i, last):
-                for t, n in counts[j].items():
-                    w = self.idf.get(t, self.unseen)
-                    norm += ((held[t] + n) ** 2 - held[t] ** 2) * w * w
-                    held[t] += n
-                dot, seen = dot + dots[j], seen or cue[j]
-                if seen and norm > 0:
-                    k = int(np.argmax(dot))
-                    top = max(top, (float(dot[k]) / math.sqrt(norm), -k, -i, j + 1))
-        if top[0] < LEAST:
+        counts = [terms(p) for p in parts]
+        # no block is more like a text than the root of the squares of those of the text's weights whose terms occur at all (Cauchy and Schwarz)
+        most = sum((self.of[t] ** 2 for t in set().union(*counts) if t in self.of), np.zeros(len(self.ids)))
+        if not any(cue) or most.max() < LEAST**2 - 1e-9:
             return None
-        return self._named(self.ids[-top[1]], text), round(min(1.0, top[0]), 6)
+        similarity, k = self._block(counts, cue)
+        return (self._named(self.ids[k], text), round(min(1.0, similarity), 6)) if similarity >= LEAST else None
+
+    def _block(self, counts: list[Counter], cue: list[bool]) -> tuple[float, int]:
+        """The highest similarity of any run of paragraphs with a cue in it, and the first text that has it; a similarity below LEAST may be reported as 0.
+
+        All starts, from the last to the first, meet all ends. A start's squared norms are those of the start after it and the
+        products of its paragraph with all that follow. Ends in a row need no look if the dot products at the last of them over the
+        norm at the first are too small: both only grow with the end.
+        """
+        n = len(counts)
+        dots = np.zeros((n + 1, len(self.ids)))
+        weights, where = [], {}
+        for p, c in enumerate(counts):
+            dots[p + 1] = dots[p] + sum((self.of[t] * (k * self.idf[t]) for t, k in c.items() if t in self.of), 0.0)
+            weights.append({t: w for t, k in c.items() if (w := k * self.idf.get(t, self.unseen))})
+            for t, w in weights[p].items():
+                where.setdefault(t, []).append((p, w))
+        places = {t: (np.array([p for p, _ in x]), np.array([w for _, w in x]), [len(x)]) for t, x in where.items()}
+        norms, cued, top = np.zeros(n), n, (0.0, 0)
+        for i in reversed(range(n)):
+            products = np.zeros(n - i)
+            for t, w in weights[i].items():
+                at, v, first = places[t]
+                first[0] -= 1
+                products[at[first[0] :] - i] += w * v[first[0] :]
+            norms[i:] += 2 * np.cumsum(products) - products[0]
+            cued = i if cue[i] else cued
+            low = np.arange(cued, n, ENDS)
+            high = np.minimum(low + ENDS, n)
+            bar = max(LEAST, top[0]) - 1e-9
+            near = (dots[high] - dots[i]).max(axis=1) >= bar * np.sqrt(norms[low])
+            for a, b in zip(low[near], high[near]):
+                length = np.sqrt(norms[a:b, None])
+                alike = np.round(np.divide(dots[a + 1 : b + 1] - dots[i], length, out=np.zeros((b - a, len(self.ids))), where=length > 0), 9).max(axis=0)
+                k = int(np.argmax(alike))
+                top = max(top, (float(alike[k]), -k))
+        return top[0], -top[1]
 
     def _named(self, found: str, text: str) -> str:
         if found == "GPL-3.0" and AFFERO.search(text):

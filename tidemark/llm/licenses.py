@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, join_by_frequency, python_on_executors, table
-from tidemark.llm.license_texts import Texts
+from tidemark.llm.license_texts import SIGN, Texts
 
 # Short notices of licences, in the order in which ties are decided.
 TEMPLATES = (
@@ -35,8 +35,6 @@ TEMPLATES = (
 )
 #: A line with one of these is a statement.
 CUE = r"(?i)licen[cs]e|copyright|spdx|rights reserved|redistribution and use"
-#: A text with one of these may be a licence or hold a header.
-BLOCK_CUE = CUE + r"|without warranty|express or implied|public domain|hereby granted"
 TERM = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 #: Least similarity for a licence to be given.
 LEAST = 0.6
@@ -60,7 +58,7 @@ def blocks(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, license, similarity) of the files whose header or whole text is like a full licence text or a usual header, or that declare an SPDX identifier."""
     spark = files.sparkSession
     python_on_executors(spark)
-    rows = files.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body")).filter(F.col("body").rlike(BLOCK_CUE))
+    rows = files.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body")).filter(F.col("body").rlike(SIGN))
     schema = rows.select("key").schema.add("license", "string").add("similarity", "double")
     held = spark.sparkContext.broadcast(Texts())
 
